@@ -89,3 +89,33 @@ def words(group: list[bytes], limit: int = 1 << 19, terms: bool = False) -> tupl
     starts, ends = spans(inside_of[raw])
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
     return span_hashes(byte_symbols(raw), starts, ends), bounds
+
+
+def pieces(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts in groups of about ``limit`` bytes, long ones cut at white space; yields (text numbers, pieces)."""
+    owners: list[int] = []
+    group: list[bytes] = []
+    held = 0
+    for i, t in enumerate(texts):
+        for p in _pieces(t, limit) if len(t) > 2 * limit else [t]:
+            owners.append(i)
+            group.append(p)
+            held += len(p)
+            if held >= limit:
+                yield owners, group
+                owners, group, held = [], [], 0
+    if group:
+        yield owners, group
+
+
+def terms(group: list[bytes], prefixes: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the lower-cased terms of each text, then of their prefixes in bytes; yields (text numbers, hashes)."""
+    lengths = np.fromiter((len(t) + 1 for t in group), np.int64, len(group))
+    raw = LOWER[np.frombuffer(b"\n".join(group) + b"\n", np.uint8)]
+    starts, ends = spans(TERM[raw])
+    of = np.searchsorted(np.cumsum(lengths), starts, "right")
+    symbols = byte_symbols(raw)
+    yield of, span_hashes(symbols, starts, ends)
+    for k in prefixes:
+        longer = ends - starts > k
+        yield of[longer], span_hashes(symbols, starts[longer], starts[longer] + k) ^ np.uint64(0xA5A5A5A5A5A5A5A5)

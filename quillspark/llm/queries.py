@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, counts, mixing, sharding
+from . import bitslice, bpe, counts, fingerprint, html, mixing, neardup, sharding, toxicity
 from ._frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints_with_edit(table(spark, sf_dir, "documents"))
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return bitslice.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -31,13 +39,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_machine(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_topk, op5_bpe_codec, op6_mix_sources, op7_token_counts, op9_sharding)}
+    return {f.__name__: f for f in (op1_lz_fingerprints, op2_minhash_near_dedup, op4_exact_topk, op5_bpe_codec, op6_mix_sources, op7_token_counts, op8_toxicity, op9_sharding, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": bitslice.SQL, "op6_mix_sources": mixing.SQL}
+    return {"op2_minhash_near_dedup": neardup.SQL, "op4_exact_topk": bitslice.SQL, "op6_mix_sources": mixing.SQL}
