@@ -1,11 +1,37 @@
-"""A training-data pipeline of four stages over ``documents``."""
+"""A training-data pipeline over ``documents``: toxic documents and near copies go, sources are mixed, texts encoded.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept; all but the last
+return the columns of ``documents``. ``ORACLE_SQL`` is None: SQL can't express the factorisation machine.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm import bpe, mixing, neardup, toxicity
+
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    machine = toxicity.train_machine(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, machine)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", reject_toxic), ("near duplicates", drop_copies), ("mixing", mix), ("encoding", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,9 +58,9 @@ def strict_split():
 
 
 @lru_cache(4)
-def shared(path: str) -> SpeculativeBPE:
+def shared(path: str, use_special: bool = True) -> SpeculativeBPE:
     """One encoder per process and file: its words stay known from task to task."""
-    return SpeculativeBPE(path)
+    return SpeculativeBPE(path, use_special=use_special)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,19 +73,20 @@ def byte_alphabet() -> dict[str, int]:
 class SpeculativeBPE:
     """Encoder and decoder for one vocabulary file (JSON of the tokenizers library, byte-level BPE)."""
 
-    def __init__(self, path: str, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, cache_words: int = 400_000, use_special: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
         model = spec["model"]
         plain = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = added if use_special else {}
         self._at_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        size = 1 + max([*plain.values(), *self.special.values()])
+        size = 1 + max([*plain.values(), *added.values()])
         self.bytes_of = [b""] * size
         for b, i in plain.items():
             self.bytes_of[i] = b
-        for s, i in self.special.items():
+        for s, i in added.items():
             self.bytes_of[i] = s.encode()
         self._lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self._offsets = np.concatenate(([0], np.cumsum(self._lengths)))

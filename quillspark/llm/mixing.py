@@ -7,7 +7,7 @@ is taken whole as many times as its target holds it, and once more up to the bud
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._frames import cut_lineage, pick
@@ -15,6 +15,7 @@ from ._frames import cut_lineage, pick
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
+SALT = "mix:"
 BUCKET_DIGITS = 3  # hex digits of the key: 4096 ranges a source
 
 
@@ -48,19 +49,24 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return weighed.withColumn("target", F.least((F.col("source_size") * most).cast("double"), F.lit(level) * F.col("weight")))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, salt: str = "mix:") -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` for every row.
+def _key(doc_id: str) -> Column:
+    return F.md5(F.concat(F.lit(SALT), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
 
-    Size: words of the text, null 0. ``taken``: words that the mix takes, repeats counted. The last copy
-    is cut at the source's exact budget, or, with ``whole``, at the document border next to it; ``copies``
-    counts the copies begun. Ties in the key (repeated ids) go by id, then size. Null ids, null sources and
-    repeated rows take part like others; an empty table gives an empty one; a source without words takes 0.
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``doc_id, size, source, key, source_size, target, start, epochs, left`` of every row.
+
+    ``start``: words of the source before the row in hash order. ``epochs``: whole passes over the source that
+    its target holds; ``left``: the words of the target beyond them.
     """
-    key = F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     base = cut_lineage(
         pick(docs, doc_id=id_col, text=text_col, source=source_col)
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("source").cast("string").alias("source"))
-        .withColumn("key", key)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), _size("text").alias("size"), F.col("source").cast("string").alias("source"))
+        .withColumn("key", _key("doc_id"))
         .withColumn("bucket", F.conv(F.substring("key", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     )
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -70,17 +76,39 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o.bucket", "o.offset", "t.source_size", "t.target")
     running = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("in_bucket", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    joined = placed.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket"))).select("d.doc_id", "d.size", "o.source_size", "o.target", (F.col("o.offset") + F.col("d.in_bucket")).alias("start"))
+    both = placed.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
     budget = F.floor(F.col("target") + 0.5)
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    out = joined.withColumn("epochs", epochs.cast("long")).withColumn("left", budget - F.col("epochs") * F.col("source_size"))
-    if whole:
-        last = F.when((F.col("left") > 0) & (F.col("start") * 2 + F.col("size") <= F.col("left") * 2), F.col("size")).otherwise(0)
-        begun = ((F.col("left") > 0) & (F.col("start") * 2 + F.col("size") <= F.col("left") * 2)).cast("int")
-    else:
-        last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
-        begun = ((F.col("left") > F.col("start"))).cast("int")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"), (F.col("epochs") + begun).cast("int").alias("copies"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    return both.select("d.doc_id", "d.size", "d.source", "d.key", "o.source_size", "o.target", (F.col("o.offset") + F.col("d.in_bucket")).alias("start")).withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row.
+
+    Size: words of the text, null 0. ``taken``: words that the mix takes, repeats counted; the last document
+    of a source's last pass is cut at the exact budget. Ties in the key (repeated ids) go by id, then size.
+    Null ids, null sources and repeated rows take part like others; an empty table gives an empty one; a
+    source without words takes 0; other columns are ignored.
+    """
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
+    return _placed(docs, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as the mix takes it.
+
+    Documents stay whole, so a source ends at the document border nearest to its budget. As the hash order
+    is fixed, that border is one key a source: the texts meet a table of one row a source, and are never
+    shuffled for it.
+    """
+    placed = _placed(docs, id_col, text_col, source_col)
+    begun = (F.col("left") > 0) & (F.col("start") * 2 + F.col("size") <= F.col("left") * 2)
+    cuts = cut_lineage(placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(begun, F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size"))).alias("cut")))
+    cuts = cuts.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
+    mine = F.struct(_key(id_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), _size(text_col).alias("size"))
+    copies = F.col("__epochs") + F.coalesce((mine <= F.col("__cut")).cast("long"), F.lit(0))
+    joined = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(docs.columns)
 
 
 SQL = r"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, counts, fingerprint, html, mixing, neardup, sharding, toxicity
+from . import bitslice, bpe, counts, fingerprint, html, lm, mixing, neardup, sharding, toxicity
 from ._frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return bitslice.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -32,7 +36,7 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprints, op2_minhash_near_dedup, op4_exact_topk, op5_bpe_codec, op6_mix_sources, op7_token_counts, op8_toxicity, op9_sharding, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_lz_fingerprints, op2_minhash_near_dedup, op3_lm_scoring, op4_exact_topk, op5_bpe_codec, op6_mix_sources, op7_token_counts, op8_toxicity, op9_sharding, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
