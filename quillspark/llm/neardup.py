@@ -1,11 +1,11 @@
 """Near-duplicate documents by min-max hashing, banding, and exact confirmation on full shingle sets.
 
 Each permutation of a document's distinct 3-word shingles keeps both its minimum and its maximum, so the
-values come at half the hash evaluations. Bands of ``BAND`` values make buckets; in a bucket, all compare
-with its smallest document first, which joins groups of any size in as many comparisons as they have
-members. Only documents of a bucket that are still apart afterwards are compared among themselves; a large
-bucket is first divided by every second band in turn (again with the bands' own recall), never cut off.
-Every link is confirmed as 100 * intersection >= 85 * union on the whole sets.
+values come at half the hash evaluations. Bands of ``BAND`` values make buckets, and buckets that overlap
+make families. Each family's whole sets go to one place (a large family's to a grid of places), where every
+bucket's members first meet its smallest document, which joins groups of any size in as many comparisons as
+they have members, and only those still apart meet one another. Every link is confirmed on the whole sets
+as 100 * intersection >= 85 * union.
 
 With 85 % likeness a pair shares a band with probability 1 - (1 - 0.85**6)**36, all but 4 in 10**8.
 """
@@ -18,21 +18,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _vec
-from ._frames import as_bytes, cut_lineage, pick
+from ._frames import as_bytes, cut_lineage, pick, written
 
 WORDS = 3
 PERCENT = 85
 BAND = 6
 BANDS = 36
 PERMUTATIONS = BAND * BANDS // 2
-#: Buckets of documents still apart are compared pair by pair up to this size, and divided beyond it.
-PAIRWISE = 48
-DIVIDE = 3
+#: Documents that buckets join are compared in memory, in chunks of about so many shingles.
+CHUNK_SHINGLES = 1_000_000
 
 _rng = np.random.default_rng(851)
 _XOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)[:, None]
@@ -137,18 +136,6 @@ def maybe_among(ids: DataFrame, column: str = "id", most_bits: int = 27):
     return lambda c: among(F.pmod(F.xxhash64(c), F.lit(1 << bits)))
 
 
-def _near_sizes(a: str, b: str) -> Column:
-    """Whether sets of these sizes can be alike at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets are alike."""
-    one, other = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(other, "b").join(one, "a").filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
-
-
 def components(links: DataFrame) -> DataFrame:
     """``id, root`` of every id in ``links(a, b)``: root is the smallest id reachable.
 
@@ -171,22 +158,94 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut_lineage(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
-def _still_apart(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of documents that share a bucket of ``members(bucket, id, n, root)`` and aren't joined yet."""
-    out, level = None, 0
-    while True:
-        stats = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("size > 1 and r0 <> r1").select("bucket", "size")
-        open_ = cut_lineage(members.join(stats, "bucket"))
-        fine = open_ if level == DIVIDE else open_.filter(F.col("size") <= PAIRWISE)
-        a, b = fine.alias("x"), fine.alias("y")
-        pairs = a.join(b, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _near_sizes("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        out = pairs if out is None else out.unionAll(pairs)
-        coarse = open_.filter(F.col("size") > PAIRWISE)
-        if level == DIVIDE or coarse.isEmpty():
-            return out.distinct()
-        level += 1
-        again = coarse.join(classes.select("id", "bands"), "id").select("bucket", "id", "n", "root", F.explode("bands").alias("band"))
-        members = cut_lineage(again.filter(F.col("band") != F.col("bucket")).select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "root").distinct())
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two whole sets (sorted, distinct) are alike: 100 * intersection >= 85 * union."""
+    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * PERCENT:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int((b[at] == a).sum())
+    return common * 100 >= (len(a) + len(b) - common) * PERCENT
+
+
+def link_within(ids: list[int], sets: list[np.ndarray], bands: list[list[int]], sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Confirmed links that join all that the buckets' confirmed links join (a spanning forest of them).
+
+    First each bucket's members meet its smallest; then members of one bucket that are still apart meet one
+    another. With ``sides`` only pairs of different sides are compared (the others meet elsewhere).
+    """
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    parent = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links: list[tuple[int, int]] = []
+    tested: set[int] = set()
+
+    def meet(x: int, y: int) -> None:
+        if sides is not None and sides[x] == sides[y] or find(x) == find(y):
+            return
+        pair = min(x, y) * len(ids) + max(x, y)
+        if pair not in tested:
+            tested.add(pair)
+            if _alike(sets[x], sets[y]):
+                links.append((ids[x], ids[y]))
+                parent[find(x)] = find(y)
+
+    buckets: dict[int, list[int]] = {}
+    for x in order:
+        for b in bands[x]:
+            buckets.setdefault(b, []).append(x)
+    shared = [m for m in buckets.values() if len(m) > 1]
+    for members in shared:
+        for y in members[1:]:
+            meet(members[0], y)
+    for members in shared:
+        groups: dict[int, list[int]] = {}
+        for x in members:
+            groups.setdefault(find(x), []).append(x)
+        apart = list(groups.values())
+        for i, one in enumerate(apart):
+            for other in apart[i + 1 :]:
+                for x in one:
+                    for y in other:
+                        meet(x, y)
+    return links
+
+
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _links_of_cell(cell: pa.Table) -> pa.Table:
+    def lists(name: str, kind: type) -> list[np.ndarray]:
+        column = cell.column(name).combine_chunks()
+        flat, ends = column.flatten().to_numpy().astype(kind), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+        return [flat[ends[i] : ends[i + 1]] for i in range(len(column))]
+
+    # the sets are kept in the order of unsigned hashes
+    sets = [x.view(np.uint64) for x in lists("shingles", np.int64)]
+    one_side = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+    found = link_within(cell.column("id").to_pylist(), sets, [b.tolist() for b in lists("bands", np.int64)], None if one_side else cell.column("chunk").to_pylist())
+    return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=LINKS.names)
+
+
+def confirmed_links(families: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: confirmed links from ``families(id, root)``, the documents joined by unconfirmed buckets.
+
+    A family is compared in memory. A large one (by its shingles) is a grid: its documents fall into chunks,
+    and each pair of chunks is a cell of its own, so that no task holds more than two chunks and every pair
+    meets in one cell.
+    """
+    sized = families.join(classes.select("id", "n", "bands"), "id")
+    chunks = sized.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    placed = sized.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "bands")
+    return cells.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id").groupBy("root", "i", "j").applyInArrow(_links_of_cell, LINKS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,34 +257,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id are one document in linking, and get a row each. An empty table gives an empty one.
     """
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = cut_lineage(texts.mapInArrow(_signatures, SIGNATURE))
-    classes = cut_lineage(signed.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    signed = written(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
+    classes = written(signed.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     # texts that share an id are one document: their classes are linked
     repeated = signed.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"), F.count_distinct("key").alias("k")).filter("k > 1").select("doc_id")
     same_id = signed.join(repeated, "doc_id").join(classes.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
-    buckets = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1"))
-    members = cut_lineage(buckets.join(shared, "bucket"))
-    firsts = classes.select(F.col("id").alias("first"), F.col("n").alias("first_n"))
-    star = cut_lineage(members.filter("id <> first").select("first", "id", "n").distinct().join(firsts, "first").filter(_near_sizes("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")))
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = cut_lineage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-        among = maybe_among(wanted)
-        few = texts.filter(F.col("doc_id").isNotNull()).filter(among("doc_id"))
-        few = few.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        # of rows that repeat an id, the set of the class that the id stands for
-        found = few.mapInArrow(_sets, SETS)
-        return found if not ambiguous else found.join(classes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_class")), "doc_id").filter(F.size("shingles") == F.col("n_class")).drop("n_class").dropDuplicates(["doc_id"])
-
-    ambiguous = not signed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    linked = cut_lineage(confirm(star, sets_of(star)).unionAll(same_id))
-    roots = components(linked)
-    labelled = members.filter("size > 2").select("bucket", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = cut_lineage(_still_apart(labelled, classes).join(star, ["a", "b"], "left_anti"))
-    if not apart.isEmpty():
-        roots = components(linked.unionAll(confirm(apart, sets_of(apart))))
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", "first")
+    families = components(buckets.join(shared, "bucket").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    families = cut_lineage(families.unionAll(families.select(F.col("root").alias("id"), "root").distinct()))
+    few = texts.filter(F.col("doc_id").isNotNull()).filter(maybe_among(families)("doc_id"))
+    sets = few.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, SETS)
+    if not repeated.isEmpty():  # of rows that repeat an id, the set of the class that the id stands for
+        sets = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_class")), "doc_id").filter(F.size("shingles") == F.col("n_class")).drop("n_class").dropDuplicates(["doc_id"])
+    roots = components(confirmed_links(families, sets, classes).unionAll(same_id))
     whole = classes.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(whole, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
