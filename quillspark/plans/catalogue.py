@@ -1,11 +1,631 @@
-"""Named queries and their SQL."""
+"""Named queries over the driver's tables, each with the SQL of the same result where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import scalars as X
+from ..operators import chrome, enrich, geometry, quality, render, sections, tables
+from ..operators import items as I
+from ..sources import formats, parsers
+from . import views as V
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _rows(pairs: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in p) + ")" for p in pairs)
+
+
+# -- routing --------------------------------------------------------------------------------------
+
+_ENDINGS = [f for f, _, _ in formats.FORMATS] + ["markdown", "htm", "HTM", "DocX", "xyz", ""]
+_NAME = "'f' || CAST(doc_id AS VARCHAR) || CASE WHEN e = '' THEN '' ELSE '.' || e END"
+_EXTS = _rows([(f, f, fam) for f, fam, _ in formats.FORMATS] + [(a, f, dict((x, y) for x, y, _ in formats.FORMATS)[f]) for a, f in formats.ALIASES])
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, list_element([{", ".join(repr(e) for e in _ENDINGS)}], CAST(doc_id % {len(_ENDINGS)} + 1 AS BIGINT)) AS e FROM documents),
+ f AS (SELECT {_NAME} AS path, lower(regexp_extract({_NAME}, '\\.([^./\\\\]+)$', 1)) AS ext FROM n)
+ SELECT path, f.ext AS ext, d.format, d.family, d.format IS NOT NULL AS supported FROM f LEFT JOIN (VALUES {_EXTS}) d(ext, format, family) ON f.ext = d.ext"""
+)
+def format_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names to formats by extension, aliases and capitals included."""
+    e = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    files = V.documents(spark, sf_dir).select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(e == "", "").otherwise(F.concat(F.lit("."), e))).alias("path"))
+    return formats.route(files).select("path", "ext", "format", "family", "supported")
+
+
+_MIME_SAMPLES = [m for m, _ in formats.MIMES] + ["Text/HTML; charset=utf-8", "IMAGE/JPEG", "text/x-ndjson", "text/x-unknown", "image/x-tiff-fx", "image/zzz", "application/ld+json", "application/atom+xml", "application/x-pdf-part", "application/zip", "audio/mpeg"]
+_MIME_TABLE = _rows(formats.MIMES)
+_MIME_OF = f"m AS (SELECT doc_id, list_element([{', '.join(repr(e) for e in _MIME_SAMPLES)}], CAST(doc_id % {len(_MIME_SAMPLES)} + 1 AS BIGINT)) AS mime FROM documents), n AS (SELECT *, trim(split_part(lower(mime), ';', 1)) AS normalized FROM m)"
+
+
+def _mimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.documents(spark, sf_dir).select("doc_id", F.element_at(F.array(*map(F.lit, _MIME_SAMPLES)), (F.col("doc_id") % len(_MIME_SAMPLES) + 1).cast("int")).alias("mime"))
+
+
+@query(f"WITH {_MIME_OF} SELECT doc_id, n.mime, normalized, format FROM n LEFT JOIN (VALUES {_MIME_TABLE}) d(mime, format) ON normalized = d.mime")
+def mime_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.format_of_mime(_mimes(spark, sf_dir)).select("doc_id", "mime", "normalized", "format")
+
+
+@query(
+    f"""WITH {_MIME_OF} SELECT doc_id, normalized, coalesce(format, CASE WHEN normalized LIKE 'text/%' THEN 'txt'
+ WHEN normalized LIKE 'image/%' THEN CASE WHEN normalized LIKE '%png%' THEN 'png' WHEN normalized LIKE '%jpg%' OR normalized LIKE '%jpeg%' THEN 'jpg' WHEN normalized LIKE '%webp%' THEN 'webp' WHEN normalized LIKE '%tif%' THEN 'tiff'
+  WHEN normalized LIKE '%bmp%' THEN 'bmp' WHEN normalized LIKE '%gif%' THEN 'gif' WHEN normalized LIKE '%heic%' THEN 'heic' WHEN normalized LIKE '%heif%' THEN 'heif' WHEN normalized LIKE '%avif%' THEN 'avif' ELSE 'png' END
+ WHEN normalized LIKE 'application/%' THEN CASE WHEN normalized LIKE '%json%' THEN 'json' WHEN normalized LIKE '%xml%' THEN 'xml' WHEN normalized LIKE '%pdf%' THEN 'pdf' END END) AS suggested
+ FROM n LEFT JOIN (VALUES {_MIME_TABLE}) d(mime, format) ON normalized = d.mime"""
+)
+def mime_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.suggest_format(_mimes(spark, sf_dir)).select("doc_id", "normalized", "suggested")
+
+
+_ALL_MIMES = sorted({*[(f, m) for f, _, m in formats.FORMATS], *[(f, m) for m, f in formats.OTHER_MIMES if m not in formats.UNPARSED], *formats.REVERSE_ONLY})
+
+
+@query(f"SELECT format, list_sort(list(DISTINCT mime)) AS mimes FROM (VALUES {_rows(_ALL_MIMES)}) t(format, mime) GROUP BY format")
+def mime_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.mimes_of_format(spark)
+
+
+# -- text -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.V_LINES} SELECT doc_id, string_agg(CASE WHEN {V.CAPS} THEN '## ' || line ELSE line END, chr(10) ORDER BY seq) AS markdown FROM v_lines GROUP BY doc_id")
+def txt_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.documents(spark, sf_dir).select("doc_id", I.text_to_markdown(F.coalesce("text", F.lit(""))).alias("markdown"))
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS words, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, CAST(length(text) AS BIGINT) AS chars FROM documents""")
+def txt_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.documents(spark, sf_dir).select("doc_id", I.word_count(F.col("text")).alias("words"), I.line_count(F.col("text")).alias("lines"), F.length("text").cast("long").alias("chars"))
+
+
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '#+ ', '', 'g'), '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '\[(.*?)\]\(.*?\)', '\1', 'g'), '`(.*?)`', '\1', 'g')"""
+_MARKED = "'# ' || text || ' **bold** and [link](http://x/' || CAST({id} AS VARCHAR) || ') `code` *it*'"
+
+
+@query(f"SELECT doc_id AS id, 'd' AS kind, {_PLAIN.format(x=_MARKED.format(id='doc_id'))} AS plain FROM documents UNION ALL SELECT conv_id * 1000 + turn, 'c', {_PLAIN.format(x=_MARKED.format(id='turn'))} FROM conversations")
+def plain_text_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = lambda i: F.concat(F.lit("# "), F.col("text"), F.lit(" **bold** and [link](http://x/"), F.col(i).cast("string"), F.lit(") `code` *it*"))
+    d = V.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("d").alias("kind"), I.plain_text(mark("doc_id")).alias("plain"))
+    c = V.read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("c").alias("kind"), I.plain_text(mark("turn")).alias("plain"))
+    return d.unionByName(c)
+
+
+_HEAD = r"(?:^|\n)[ \t]*#"
+
+
+@query(
+    r"""SELECT doc_id, CAST(len(list_filter(string_split(t, chr(10)), lambda l: ltrim(l) LIKE '#%')) AS BIGINT) AS headers, CAST(len(regexp_extract_all(t, '\[([^\]]+)\]\(([^)]+)\)')) AS BIGINT) AS links,
+ CAST(len(regexp_extract_all(t, '!\[([^\]]*)\]\(([^)]+)\)')) AS BIGINT) AS images FROM (SELECT doc_id, '# h' || chr(10) || text || ' [a](b) ![i](p' || CAST(doc_id AS VARCHAR) || ')' AS t FROM documents)"""
+)
+def markdown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("# h\n"), F.col("text"), F.lit(" [a](b) ![i](p"), F.col("doc_id").cast("string"), F.lit(")"))
+    return V.documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in X.markdown_counts(t).items()])
+
+
+@query(f"WITH {V.V_ITEMS} SELECT doc_id, seq, type FROM v_items")
+def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.v_items(spark, sf_dir).select("doc_id", "seq", "type")
+
+
+_STYLES = ["Title", "Heading 1", "Heading 2", "Subtitle", "Caption", "List Bullet", "Normal", "Heading 10"]
+
+
+@query(
+    f"""WITH {V.V_LINES}, s AS (SELECT *, list_element([{", ".join(repr(s) for s in _STYLES)}], CAST(seq % {len(_STYLES)} + 1 AS BIGINT)) AS style FROM v_lines)
+ SELECT doc_id, seq, CASE WHEN line = '' THEN 'text:normal' WHEN lower(style) LIKE '%title%' THEN 'text:title' WHEN lower(style) LIKE '%heading%' THEN CASE WHEN style LIKE '%1%' THEN 'text:title' ELSE 'text:section' END
+  WHEN lower(style) LIKE '%caption%' THEN 'text:caption' WHEN lower(style) LIKE '%list%' OR lower(style) LIKE '%bullet%' THEN 'text:list' ELSE {V.KIND} END AS type FROM s"""
+)
+def classify_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    style = F.element_at(F.array(*map(F.lit, _STYLES)), (F.col("seq") % len(_STYLES) + 1).cast("int"))
+    return I.lines(V.documents(spark, sf_dir)).select("doc_id", "seq", I.classify(F.col("line"), style).alias("type"))
+
+
+@query(
+    r"""WITH """ + V.V_LINES + r""", n AS (SELECT doc_id, seq, trim(regexp_replace(CASE seq % 4 WHEN 0 THEN CAST(seq AS VARCHAR) || '. ' ELSE '' END || line, '\s+', ' ', 'g')) AS t FROM v_lines)
+ SELECT doc_id, seq, t <> '' AND (regexp_matches(t, '^[•\-\*–—▪▫●○■□]\s+') OR regexp_matches(t, '^(?:\d+|[a-zA-Z])[\.\)]\s+') OR regexp_matches(t, '^\d+(?:\.\d+)+(?:$|\s|[^0-9A-Za-z])') OR regexp_matches(t, '^\d+(?:-\d+)+(?:$|\s|[^0-9A-Za-z])')
+  OR regexp_matches(t, '^\d+[\.)、．](?:$|\s|[^0-9A-Za-z])') OR regexp_matches(t, '^[\(（]\d+[\)）](?:$|\s|[^0-9A-Za-z])')) AS marked FROM n"""
+)
+def list_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.when(F.col("seq") % 4 == 0, F.concat(F.col("seq").cast("string"), F.lit(". "))).otherwise(""), F.col("line"))
+    return I.lines(V.documents(spark, sf_dir)).select("doc_id", "seq", geometry.has_list_marker(t).alias("marked"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s|\s$', '', 'g')) AS t, sha256(text) AS sha, CAST(length(to_base64(encode(text))) AS BIGINT) AS b64 FROM documents""")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.documents(spark, sf_dir).select("doc_id", X.one_space(F.col("text")).alias("t"), F.sha2("text", 256).alias("sha"), F.length(F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")).cast("long").alias("b64"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, text || ' [^1] and [^b2] [^n' || CAST(doc_id % 3 AS VARCHAR) || ']: def' AS t FROM documents) SELECT doc_id, regexp_extract_all(regexp_replace(t, '\[\^\w+\]:', '', 'g'), '\[\^(\w+)\]', 1) AS refs FROM m""")
+def footnote_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.col("text"), F.lit(" [^1] and [^b2] [^n"), (F.col("doc_id") % 3).cast("string"), F.lit("]: def"))
+    return V.documents(spark, sf_dir).select("doc_id", X.footnote_refs(t).alias("refs"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '… (truncated)' ELSE text END AS cut, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents""")
+def truncate_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.documents(spark, sf_dir).select("doc_id", render.truncate(F.col("text"), 100).alias("cut"), tables.escape(F.col("text")).alias("escaped"))
+
+
+# -- data formats ---------------------------------------------------------------------------------
+
+
+def _pipe_sql(name: str, cols: list[str], order: str) -> str:
+    text = {c: f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols}
+    width = {c: f"(SELECT greatest({len(c)}, max(length({text[c]}))) FROM {name})" for c in cols}
+    head = "'| ' || " + " || ' | ' || ".join(f"rpad('{c}', CAST({width[c]} AS INTEGER), ' ')" for c in cols) + " || ' |'"
+    rule = "'|' || " + " || '|' || ".join(f"repeat('-', CAST({width[c]} + 2 AS INTEGER))" for c in cols) + " || '|'"
+    line = "'| ' || " + " || ' | ' || ".join(f"rpad({text[c]}, CAST({width[c]} AS INTEGER), ' ')" for c in cols) + " || ' |'"
+    return f"SELECT '{name}' AS name, {head} || chr(10) || {rule} || chr(10) || string_agg({line}, chr(10) ORDER BY {order}) AS markdown FROM {name}"
+
+
+@query(" UNION ALL ".join([_pipe_sql("region", ["r_regionkey", "r_name"], "r_regionkey"), _pipe_sql("nation", ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey"), _pipe_sql("supplier", ["s_suppkey", "s_name", "s_nationkey"], "s_suppkey")]))
+def csv_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = [quality.pipe_table(V.read(spark, sf_dir, n), n, cols, cols[0]) for n, cols in (("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("supplier", ["s_suppkey", "s_name", "s_nationkey"]))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT event_id, CAST(json_type(props) = 'OBJECT' AS BOOLEAN) AS is_object, CAST(len(json_keys(props)) AS BIGINT) AS item_count, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("props")
+    return V.read(spark, sf_dir, "events").select("event_id", F.ltrim(p).startswith("{").alias("is_object"), F.size(F.json_object_keys(p)).cast("long").alias("item_count"), F.get_json_object(p, "$.k").cast("long").alias("k"))
+
+
+@query("SELECT p_partkey, '**p_name**: ' || p_name || chr(10) || '**p_brand**: ' || p_brand || chr(10) || '**p_size**: ' || CAST(p_size AS VARCHAR) AS markdown FROM part")
+def json_markdown_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = F.to_json(F.struct("p_name", "p_brand", "p_size"))
+    return V.read(spark, sf_dir, "part").select("p_partkey", X.flat_json_to_markdown(j).alias("markdown"))
+
+
+_JSONL = "CASE WHEN event_id % 5 = 0 THEN '{bad' WHEN event_id % 7 = 0 THEN '' ELSE props END"
+
+
+@query(f"""WITH l AS (SELECT event_id // 100 AS file, event_id, {_JSONL} AS line FROM events), g AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS n, count(*) OVER (PARTITION BY file) AS total FROM l WHERE line <> '' AND json_valid(line))
+ SELECT file, CAST(max(total) AS BIGINT) AS record_count, '# JSONL Data (' || CAST(max(total) AS VARCHAR) || ' records)' || chr(10) || chr(10) || string_agg('## Record ' || CAST(n AS VARCHAR) || chr(10) || line, chr(10) || chr(10) ORDER BY n) AS markdown FROM g GROUP BY file""")
+def jsonl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.read(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 5 == 0, "{bad").when(F.col("event_id") % 7 == 0, "").otherwise(F.col("props"))
+    return X.jsonl_to_markdown(e.select(F.floor(F.col("event_id") / 100).alias("file"), F.col("event_id").alias("seq"), line.alias("line")))
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '(?i)<img\b')) AS BIGINT) AS images FROM pages"""
+)
+def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.read(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in X.html_meta(F.col("html")).items()])
+
+
+@query(r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages) t, unnest(range(1, len(h) + 1)) u(i)""")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)).alias("pos", "href"))
+
+
+@query()
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.html_to_markdown(V.read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("""SELECT conv_id, turn, '# ' || CASE WHEN turn % 3 = 0 THEN '(no subject)' ELSE 'Turn ' || CAST(turn AS VARCHAR) END || chr(10) || chr(10) || '**From:** ' || role || '  ' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text AS markdown FROM conversations""")
+def email_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.read(spark, sf_dir, "conversations")
+    subject = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("Turn "), F.col("turn").cast("string")))
+    return c.select("conv_id", "turn", X.email_markdown(subject, [("From", F.col("role")), ("Cc", F.lit(None).cast("string"))], F.col("text")).alias("markdown"))
+
+
+# -- sections and chunks --------------------------------------------------------------------------
+
+_SECTIONED = "s AS (SELECT *, CASE WHEN type IN ('text:title', 'text:section') THEN 1 ELSE 0 END AS head FROM {v}), g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS section_id FROM s)"
+
+
+@query(f"WITH {V.V_ITEMS}, {_SECTIONED.format(v='v_items')} SELECT doc_id, seq, CAST(section_id AS BIGINT) AS section_id, max(CASE WHEN head = 1 THEN content END) OVER (PARTITION BY doc_id, section_id) AS section_title FROM g")
+def section_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.number_sections(V.v_items(spark, sf_dir)).select("doc_id", "seq", "section_id", "section_title")
+
+
+@query(
+    f"""WITH {V.V_ITEMS}, {_SECTIONED.format(v='v_items')} SELECT doc_id, CAST(section_id AS BIGINT) AS section_id, max(CASE WHEN head = 1 THEN content END) AS section_title, min(page) AS page_start, max(page) AS page_end, count(*) AS n_items, list_sort(list(DISTINCT type)) AS content_types FROM g GROUP BY doc_id, section_id"""
+)
+def section_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.section_bounds(V.v_items(spark, sf_dir))
+
+
+@query(
+    f"""WITH {V.V_CONV}, i AS (SELECT doc_id, seq, CASE WHEN seq % 6 = 2 THEN 'text:title' ELSE type END AS type, content, page FROM v_conv), {_SECTIONED.format(v='i')},
+ h AS (SELECT *, coalesce(last(CASE WHEN type = 'text:title' THEN content END IGNORE NULLS) OVER w, first(content) OVER w) AS base FROM g WHERE head = 1 WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT doc_id, CAST(section_id AS BIGINT) AS section_id, CASE WHEN type = 'text:title' OR base IS NULL THEN [content] ELSE [base, content] END AS path FROM h"""
+)
+def section_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.v_conv(spark, sf_dir).withColumn("type", F.when(F.col("seq") % 6 == 2, "text:title").otherwise(F.col("type")))
+    return sections.section_hierarchy(c)
+
+
+@query()
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing alone, without overlap."""
+    return sections.chunk_documents(V.v_items(spark, sf_dir), sections.ChunkConfig(overlap=0))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: section-aware, overlapping chunks of every document."""
+    return sections.chunk_documents(V.v_items(spark, sf_dir))
+
+
+@query()
+def chunk_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.chunk_documents(V.v_conv(spark, sf_dir), sections.ChunkConfig(max_chunk_size=800, overlap=100))
+
+
+@query(
+    f"""WITH {V.V_ITEMS}, t AS (SELECT doc_id, type, content FROM v_items) SELECT doc_id, CAST(sum(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS words, CAST(count(*) FILTER (type = 'text:list') AS BIGINT) AS lists, CAST(count(*) FILTER (type = 'text:section') AS BIGINT) AS sections FROM t GROUP BY doc_id"""
+)
+def word_count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.v_items(spark, sf_dir).groupBy("doc_id").agg(F.sum(I.word_count(F.col("content"))).alias("words"), F.count_if(F.col("type") == "text:list").alias("lists"), F.count_if(F.col("type") == "text:section").alias("sections"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS doc_id, turn AS k, text || ' [^' || CAST(turn % 4 AS VARCHAR) || ']' AS content FROM conversations), n AS (SELECT DISTINCT conv_id AS doc_id, CAST(i AS VARCHAR) AS id, '[^' || CAST(i AS VARCHAR) || ']: note ' || CAST(i AS VARCHAR) AS def FROM conversations, range(6) t(i)),
+ r AS (SELECT c.doc_id, CAST(k % 4 AS VARCHAR) AS id, min(k) AS k FROM c GROUP BY c.doc_id, CAST(k % 4 AS VARCHAR)), l AS (SELECT doc_id, max(k) AS last FROM c GROUP BY doc_id),
+ p AS (SELECT n.doc_id, coalesce(r.k, l.last) AS k, n.def, r.k IS NULL AS orphan, n.id FROM n JOIN l ON n.doc_id = l.doc_id LEFT JOIN r ON n.doc_id = r.doc_id AND n.id = r.id),
+ a AS (SELECT doc_id, k, orphan, string_agg(def, chr(10) ORDER BY id) AS defs FROM p GROUP BY doc_id, k, orphan)
+ SELECT c.doc_id, c.k, c.content || coalesce(chr(10) || chr(10) || x.defs, '') || coalesce(chr(10) || chr(10) || y.defs, '') AS content FROM c LEFT JOIN a x ON c.doc_id = x.doc_id AND c.k = x.k AND NOT x.orphan LEFT JOIN a y ON c.doc_id = y.doc_id AND c.k = y.k AND y.orphan"""
+)
+def footnote_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("k"), F.concat("text", F.lit(" [^"), (F.col("turn") % 4).cast("string"), F.lit("]")).alias("content"))
+    notes = c.select("doc_id").distinct().select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: i.cast("string"))).alias("id"))
+    notes = notes.withColumn("def", F.concat(F.lit("[^"), "id", F.lit("]: note "), "id"))
+    return X.attach_footnotes(c, notes)
+
+
+# -- rendering ------------------------------------------------------------------------------------
+
+_MD = "CASE type WHEN 'text:title' THEN '# ' || content WHEN 'text:section' THEN '## ' || content WHEN 'text:caption' THEN '*' || content || '*' ELSE content END"
+
+
+@query(
+    f"""WITH {V.V_ITEMS}, m AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM v_items) SELECT doc_id, string_agg(CASE WHEN before IS NULL OR before <> page THEN '<!-- page ' || CAST(page AS VARCHAR) || ' -->' || chr(10) || chr(10) ELSE '' END || {_MD}, chr(10) || chr(10) ORDER BY seq) AS markdown FROM m GROUP BY doc_id"""
+)
+def render_office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_office(V.v_items(spark, sf_dir))
+
+
+@query(
+    f"""WITH {V.V_ITEMS}, m AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM v_items) SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN before <> page THEN '<!-- page ' || CAST(page AS VARCHAR) || ' -->' || chr(10) || chr(10) ELSE '' END || {_MD}, chr(10) || chr(10) ORDER BY seq), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS markdown FROM m GROUP BY doc_id"""
+)
+def render_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_pdf(V.v_items(spark, sf_dir))
+
+
+@query(f"WITH {V.V_ITEMS} SELECT doc_id, seq, CASE WHEN lag(page) OVER w IS NULL OR lag(page) OVER w <> page THEN '<!-- slide ' || CAST(page AS VARCHAR) || ' -->' END AS marker FROM v_items WINDOW w AS (PARTITION BY doc_id ORDER BY seq)")
+def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.page_markers(V.v_items(spark, sf_dir), True, "slide").select("doc_id", "seq", "marker")
+
+
+# -- repeated heads and feet ----------------------------------------------------------------------
+
+_ZONED = f"""{V.V_CHROME}, z AS (SELECT *, CASE WHEN position_y / 800 < 0.12 THEN 'header' WHEN position_y / 800 > 0.88 THEN 'footer' END AS zone FROM v_chrome), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM v_chrome GROUP BY doc_id HAVING count(DISTINCT page) > 3),
+ k AS (SELECT doc_id, content AS key, zone, count(DISTINCT page) AS n_pages FROM z WHERE zone IS NOT NULL GROUP BY ALL), rep AS (SELECT k.* FROM k JOIN t ON k.doc_id = t.doc_id WHERE n_pages >= total * 0.5)"""
+
+
+@query(f"WITH {_ZONED} SELECT doc_id, key, zone, n_pages FROM rep")
+def repeated_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chrome.repeated_chrome(V.v_chrome(spark, sf_dir))
+
+
+@query(f"WITH {_ZONED} SELECT z.doc_id, z.seq, z.page, z.content, CASE WHEN rep.key IS NOT NULL THEN 'text:' || z.zone ELSE z.type END AS type FROM z LEFT JOIN rep ON z.doc_id = rep.doc_id AND z.content = rep.key AND z.zone = rep.zone")
+def retype_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chrome.retype_chrome(V.v_chrome(spark, sf_dir)).select("doc_id", "seq", "page", "content", "type")
+
+
+# -- geometry -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.V_GEO} SELECT doc_id, page, avg(size) AS avg_size, max(size) AS max_size FROM v_geo GROUP BY ALL")
+def font_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.font_stats(V.v_geo(spark, sf_dir))
+
+
+@query(
+    f"""WITH {V.V_LINES}, s AS (SELECT doc_id, seq // 5 AS page, replace(line, 'q', chr(65533)) AS text, CAST(seq % 3 + 10 AS DOUBLE) AS size FROM v_lines), t AS (SELECT doc_id, page, max(size) AS top FROM s GROUP BY ALL),
+ p AS (SELECT s.doc_id, s.page, sum(length(text) - length(replace(text, chr(65533), ''))) AS bad, sum(length(text)) AS n FROM s JOIN t ON s.doc_id = t.doc_id AND s.page = t.page WHERE size >= top * 0.9 GROUP BY ALL) SELECT doc_id, max(CASE WHEN n > 0 THEN bad / n ELSE 0.0 END) AS illegibility FROM p GROUP BY doc_id"""
+)
+def illegibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.lines(V.documents(spark, sf_dir))
+    return geometry.headline_illegibility(lines.select("doc_id", F.floor(F.col("seq") / 5).alias("page"), F.replace(F.col("line"), F.lit("q"), F.lit("�")).alias("text"), (F.col("seq") % 3 + 10).cast("double").alias("size")))
+
+
+@query(
+    f"""WITH {V.V_GEO}, p AS (SELECT doc_id, page, least(sum(((x1 - x0) * (y1 - y0) * 9) / 480000.0), 1.0) AS cover, sum(event_id % 11) AS chars FROM v_geo GROUP BY ALL), d AS (SELECT doc_id, avg(cover) AS coverage, avg(chars) AS chars_per_page FROM p GROUP BY doc_id)
+ SELECT doc_id, round(coverage, 9) AS coverage, chars_per_page, CASE WHEN coverage >= 0.55 AND chars_per_page < 200 THEN 'image' ELSE 'text' END AS strategy FROM d"""
+)
+def doc_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = V.v_geo(spark, sf_dir).select("doc_id", "page", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * 9).alias("image_area"), F.lit(480000.0).alias("page_area"), (F.col("event_id") % 11).alias("n_chars"), F.lit(0.0).alias("illegible"))
+    return geometry.page_strategy(g).select("doc_id", F.round("coverage", 9).alias("coverage"), "chars_per_page", "strategy")
+
+
+def _split_geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = V.v_geo(spark, sf_dir)
+    return g.filter("event_type <> 'error'"), g.filter("event_type = 'error'")
+
+
+_TOUCH = "b.page = t.page AND b.x0 < t.x1 AND b.x1 > t.x0 AND b.y0 < t.y1 AND b.y1 > t.y0"
+
+
+@query(f"WITH {V.V_GEO} SELECT event_id, page FROM v_geo b WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM v_geo t WHERE t.event_type = 'error' AND {_TOUCH})")
+def bbox_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, boxes = _split_geo(spark, sf_dir)
+    return geometry.outside_tables(blocks, boxes).select("event_id", "page")
+
+
+@query(
+    f"""WITH {V.V_GEO} SELECT event_id, page FROM v_geo b WHERE event_type <> 'error' AND EXISTS (SELECT 1 FROM v_geo f WHERE f.event_type = 'error' AND b.page = f.page AND least(abs(b.y0 - f.y1), abs(f.y0 - b.y1)) < 50 AND (least(b.x1, f.x1) - greatest(b.x0, f.x0) > 0 OR abs((b.x0 + b.x1) / 2 - (f.x0 + f.x1) / 2) < 100))"""
+)
+def near_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, boxes = _split_geo(spark, sf_dir)
+    return geometry.near_figures(blocks, boxes).select("event_id", "page")
+
+
+@query(f"WITH {V.V_GEO} SELECT event_id, (x1 - x0 < 600 * 0.1) AND (size * 10 < 800 * 0.1) AS decorative FROM (SELECT event_id, x0, x0 + event_id % 90 AS x1, size FROM v_geo)")
+def decorative_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = V.v_geo(spark, sf_dir)
+    width = (F.col("x0") + F.col("event_id") % 90) - F.col("x0")
+    return g.select("event_id", geometry.is_decorative(width, F.col("size") * 10, F.lit(600), F.lit(800)).alias("decorative"))
+
+
+_FEATS = r"""f AS (SELECT doc_id, seq, trim(regexp_replace(line, '\s+', ' ', 'g')) AS n, CAST(10 + seq % 5 AS DOUBLE) AS block_size, seq % 3 = 0 AS is_bold FROM v_lines)"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = I.lines(V.documents(spark, sf_dir)).select("doc_id", "seq", F.col("line").alias("text"), (F.col("seq") % 5 + 10).cast("double").alias("block_size"), F.lit(11.0).alias("avg_size"), F.lit(14.0).alias("max_size"), (F.col("seq") % 3 == 0).alias("is_bold"), F.lit(False).alias("is_all_caps"))
+    return geometry.heading_features(b)
+
+
+@query(
+    f"WITH {V.V_LINES}, {_FEATS}"
+    + r""" SELECT doc_id, seq, CAST(length(n) AS INTEGER) AS length, round(block_size / 11.0, 9) AS size_ratio, round(block_size / 14.0, 9) AS max_size_ratio, regexp_matches(n, '[一-鿿]') AS has_cjk, regexp_matches(n, '[。！？!?；;]') OR suffix(n, '.') AS has_sentence_end,
+ regexp_matches(n, '[，,、；;]$') AS goes_on, CAST(length(n) - length(replace(replace(replace(replace(replace(n, ',', ''), '，', ''), '、', ''), ':', ''), '：', '')) AS INTEGER) AS separators, regexp_matches(n, '_{3,}|\.{4,}|…{2,}') AS is_form_field FROM f"""
+)
+def heading_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir).select("doc_id", "seq", "length", F.round("size_ratio", 9).alias("size_ratio"), F.round("max_size_ratio", 9).alias("max_size_ratio"), "has_cjk", "has_sentence_end", "goes_on", F.col("separators").cast("int").alias("separators"), "is_form_field")
+
+
+@query()
+def heading_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir).select("doc_id", "seq", geometry.is_heading().alias("is_heading"), geometry.is_title().alias("is_title"))
+
+
+@query(f"WITH {V.V_GEO} SELECT page, event_id, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, event_id) AS INTEGER) AS place FROM v_geo")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.v_geo(spark, sf_dir).select("page", "event_id", F.row_number().over(Window.partitionBy("page").orderBy("y0", "event_id")).alias("place"))
+
+
+# -- tables ---------------------------------------------------------------------------------------
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with a wide first cell where the key is a multiple of 3, and a tall one where of 4."""
+    g = V.v_grid(spark, sf_dir)
+    return g.withColumn("colspan", F.when((F.col("table_id") % 3 == 0) & (F.col("r") == 0) & (F.col("c") == 0), 2).otherwise(1)).withColumn("rowspan", F.when((F.col("table_id") % 4 == 0) & (F.col("r") == 1) & (F.col("c") == 3), 2).otherwise(1))
+
+
+_N = f"""{V.V_GRID}, s AS (SELECT table_id, max(r) AS rmax FROM v_grid GROUP BY table_id), e AS (SELECT g.*, CASE WHEN g.table_id % 3 = 0 AND r = 0 AND c = 0 THEN 2 ELSE 1 END AS cs, CASE WHEN g.table_id % 4 = 0 AND r = 1 AND c = 3 THEN least(2, rmax) ELSE 1 END AS rs,
+  (g.table_id % 3 = 0 AND r = 0 AND c = 1) OR (g.table_id % 4 = 0 AND r = 2 AND c = 3) AS is_continuation FROM v_grid g JOIN s ON g.table_id = s.table_id),
+ n AS (SELECT table_id, r, c, CASE WHEN is_continuation THEN '' ELSE coalesce(trim(text), '') END AS text, CAST(CASE WHEN is_continuation THEN 1 ELSE rs END AS INTEGER) AS rowspan, CAST(CASE WHEN is_continuation THEN 1 ELSE cs END AS INTEGER) AS colspan, is_continuation, r = 0 AS is_header FROM e)"""
+
+
+@query(f"WITH {_N} SELECT * FROM n")
+def table_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.normalize(_cells(spark, sf_dir))
+
+
+@query(f"""WITH {V.V_GRID}, d AS (SELECT * FROM v_grid WHERE (r + c) % 5 <> 4 OR c = 0), z AS (SELECT table_id, max(c) AS last FROM d GROUP BY table_id), f AS (SELECT DISTINCT d.table_id, r, last FROM d JOIN z ON d.table_id = z.table_id), g AS (SELECT table_id, r, CAST(unnest(range(0, last + 1)) AS INTEGER) AS c FROM f)
+ SELECT g.table_id, g.r, g.c, coalesce(trim(d.text), '') AS text FROM g LEFT JOIN d ON g.table_id = d.table_id AND g.r = d.r AND g.c = d.c""")
+def table_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ragged = _cells(spark, sf_dir).filter("(r + c) % 5 <> 4 or c = 0")
+    return tables.pad(ragged).select("table_id", "r", "c", "text")
+
+
+_PIPE = r"replace(replace(text, chr(10), '<br>'), '|', '\|')"
+
+
+@query(f"""WITH {_N}, w AS (SELECT table_id, r, '| ' || string_agg({_PIPE}, ' | ' ORDER BY c) || ' |' AS line, count(*) AS k FROM n GROUP BY ALL), x AS (SELECT table_id, r, CASE WHEN r = 0 THEN line || chr(10) || '| ' || rtrim(repeat('--- | ', CAST(k AS INTEGER)), ' ') ELSE line END AS line FROM w) SELECT table_id, string_agg(line, chr(10) ORDER BY r) || chr(10) AS markdown FROM x GROUP BY table_id""")
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.to_pipe_table(tables.normalize(_cells(spark, sf_dir)))
+
+
+def _html_sql(top: str, css: str, text: str) -> str:
+    tag = "CASE WHEN r = 0 THEN 'th' ELSE 'td' END"
+    cell = f"'<' || {tag} || CASE WHEN rowspan > 1 THEN ' rowspan=\"' || CAST(rowspan AS VARCHAR) || '\"' ELSE '' END || CASE WHEN colspan > 1 THEN ' colspan=\"' || CAST(colspan AS VARCHAR) || '\"' ELSE '' END || '{css}>' || {text} || '</' || {tag} || '>'"
+    return f"WITH {_N}, w AS (SELECT table_id, r, '  <tr>' || coalesce(string_agg({cell}, '' ORDER BY c) FILTER (NOT is_continuation), '') || '</tr>' AS line FROM n GROUP BY ALL) SELECT table_id, '{top}' || chr(10) || string_agg(line, chr(10) ORDER BY r) || chr(10) || '</table>' AS html FROM w GROUP BY table_id"
+
+
+_ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(_html_sql("<table>", "", _ESC))
+def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.to_html_table(tables.normalize(_cells(spark, sf_dir)))
+
+
+@query(_html_sql('<table style="border-collapse: collapse;">', ' style="border: 1px solid #999; padding: 4px;"', f"replace(replace({_ESC}, '\"', '&quot;'), '''', '&#x27;')"))
+def table_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.to_html_table(tables.normalize(_cells(spark, sf_dir)), styled=True)
+
+
+@query(
+    f"""WITH {_N}, m AS (SELECT *, coalesce(max(CASE WHEN rowspan > 1 AND NOT is_continuation THEN r + rowspan - 1 END) OVER (PARTITION BY table_id, c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) >= r AS under FROM n),
+ k AS (SELECT table_id, r, c, CASE WHEN is_continuation AND under THEN '↓' WHEN is_continuation THEN '→' WHEN rowspan > 1 OR colspan > 1 THEN text || ' ⊕' ELSE text END AS shown FROM m), w AS (SELECT table_id, c, max(length(shown)) AS width FROM k GROUP BY ALL),
+ l AS (SELECT k.table_id, k.r, string_agg(rpad(shown, CAST(width AS INTEGER), ' '), ' | ' ORDER BY k.c) AS line FROM k JOIN w ON k.table_id = w.table_id AND k.c = w.c GROUP BY ALL) SELECT table_id, string_agg('| ' || line || ' |', chr(10) ORDER BY r) AS grid FROM l GROUP BY table_id"""
+)
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.to_grid(tables.normalize(_cells(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {V.V_GRID}, t AS (SELECT table_id, r, c, coalesce(text, '') AS text FROM v_grid), s AS (SELECT table_id, max(r) + 1 AS rows, max(c) + 1 AS cols FROM t GROUP BY table_id), w AS (SELECT *, min(CASE WHEN text <> '' THEN c END) OVER (PARTITION BY table_id, r ORDER BY c ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nc,
+  min(CASE WHEN text <> '' THEN r END) OVER (PARTITION BY table_id, c ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nr FROM t) SELECT w.table_id, r, c, text, CAST(coalesce(nc, cols) - c AS INTEGER) AS colspan, CAST(coalesce(nr, rows) - r AS INTEGER) AS rowspan FROM w JOIN s ON w.table_id = s.table_id WHERE text <> ''"""
+)
+def empty_span_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.empty_runs(V.v_grid(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))))
+
+
+@query(f"WITH {V.V_GRID} SELECT table_id, c, max(length(coalesce(text, ''))) AS width, avg(CASE WHEN coalesce(text, '') = '' THEN 1.0 ELSE 0.0 END) AS emptiness FROM v_grid GROUP BY ALL")
+def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.column_stats(V.v_grid(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))).withColumn("width", F.col("width").cast("long"))
+
+
+# -- enrichment and caches ------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '[image: OCR unavailable]' ELSE 'q' || CAST(l.quality AS VARCHAR) END AS text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.doc_id IS NOT NULL AND l.toxic = 1)")
+def ocr_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images joined to results; an empty result (here the toxic ones) drops the image, a missing one leaves a placeholder."""
+    results = V.read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "").otherwise(F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("text"), F.lit(True).alias("found"))
+    return enrich.attach_ocr(V.documents(spark, sf_dir).select("doc_id"), results, ["doc_id"]).select("doc_id", "text")
+
+
+@query("SELECT source, sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL")
+def image_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's distinct contents with their first document and number of copies."""
+    keyed = V.documents(spark, sf_dir).select("source", F.sha2("text", 256).alias("sha256"), "doc_id")
+    return keyed.groupBy("source", "sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+_HALF = "SELECT DISTINCT cache_key FROM v_access WHERE cache_key % 2 = 0"
+
+
+@query(f"WITH {V.V_ACCESS} SELECT DISTINCT cache_key FROM v_access WHERE cache_key NOT IN ({_HALF})")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.v_access(spark, sf_dir)
+    return enrich.cache_misses(a, a.filter("cache_key % 2 = 0").select("cache_key").distinct(), "cache_key")
+
+
+@query(f"WITH {V.V_ACCESS}, r AS (SELECT cache_key, count(*) AS uses FROM v_access WHERE cache_key % 3 <> 0 GROUP BY cache_key) SELECT event_id, v_access.cache_key, uses FROM v_access LEFT JOIN r ON v_access.cache_key = r.cache_key")
+def cache_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.v_access(spark, sf_dir)
+    return enrich.fan_out(a, a.filter("cache_key % 3 <> 0").groupBy("cache_key").agg(F.count("*").alias("uses")), "cache_key").select("event_id", "cache_key", "uses")
+
+
+@query(f"""WITH {V.V_ACCESS}, e AS (SELECT cache_key, min(now) AS created, max(now) AS accessed FROM v_access GROUP BY cache_key), n AS (SELECT max(now) AS clock FROM v_access)
+ SELECT cache_key, least(accessed + 3600, created + 43200) AS expires_at, clock >= least(accessed + 3600, created + 43200) OR clock >= created + 43200 AS expired FROM e, n""")
+def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.v_access(spark, sf_dir)
+    clock = a.agg(F.max("now").alias("clock"))
+    e = a.groupBy("cache_key").agg(F.min("now").alias("created"), F.max("now").alias("accessed")).join(F.broadcast(clock))  # a single row
+    expires = enrich.expiry(F.col("created"), F.col("accessed"), 3600, 43200)
+    return e.select("cache_key", expires.alias("expires_at"), enrich.is_expired(F.col("clock"), F.col("created"), expires, 43200).alias("expired"))
+
+
+@query(f"WITH {V.V_ACCESS}, e AS (SELECT cache_key, max(now) AS last FROM v_access GROUP BY cache_key) SELECT cache_key, last FROM e ORDER BY last DESC, cache_key LIMIT 20")
+def lru_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.newest(V.v_access(spark, sf_dir).groupBy("cache_key").agg(F.max("now").alias("last")), 20, "last", "cache_key")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT regexp_matches(o_orderpriority, '^1-.*$') ORDER BY o_totalprice, o_orderkey LIMIT 50")
+def file_select_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excluded by pattern, sorted by size, the first k kept (the feature): one bounded top-k."""
+    o = V.read(spark, sf_dir, "orders")
+    return o.filter(~F.col("o_orderpriority").rlike(X.glob_to_regex("1-*"))).orderBy("o_totalprice", "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT CASE WHEN l.doc_id IS NULL THEN 'failed' ELSE 'success' END AS status, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS content_length FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.documents(spark, sf_dir).join(V.read(spark, sf_dir, "labels").select("doc_id", F.lit("success").alias("status")), "doc_id", "left")
+    return d.groupBy(F.coalesce("status", F.lit("failed")).alias("status")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("content_length"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, coalesce(text, '') AS text, (doc_id % 100) / 100.0 AS conf FROM documents), w AS (SELECT *, string_split(text, ' ') AS words FROM p)
+ SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'illustrative_needs_screenshot' END, CASE WHEN conf < 0.7 THEN 'low_confidence' END, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN 'described_needs_summary' END, CASE WHEN doc_id % 5 = 1 AND trim(text) <> '' THEN 'skipped_not_empty' END,
+  CASE WHEN doc_id % 4 = 0 THEN 'primary_date_unknown' END, CASE WHEN doc_id % 6 = 0 THEN 'section_not_a_heading' END, CASE WHEN doc_id % 9 = 0 THEN 'entity_not_in_text' END], lambda x: x IS NOT NULL) AS violations FROM w"""
+)
+def router_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    page = F.struct(
+        F.coalesce("text", F.lit("")).alias("text"), (i % 2 == 0).alias("illustrative"), F.when(i % 3 == 0, "screenshot").otherwise("page").alias("document_type"), ((i % 100) / 100.0).alias("confidence"),
+        F.when(i % 5 == 0, "described").when(i % 5 == 1, "skipped").otherwise("full").alias("fidelity"), F.when(i % 7 == 0, "s").alias("summary"), F.when(i % 4 == 0, "2020-01-01").alias("primary_date"), F.array(F.lit("2021-01-01")).alias("dates"),
+        F.when(i % 6 == 0, F.array(F.lit("zz"))).otherwise(F.array(F.lit("h"))).alias("sections"), F.array(F.lit("h")).alias("headings"), F.when(i % 9 == 0, F.array(F.lit("\u0001nowhere"))).otherwise(F.array().cast("array<string>")).alias("entities"),
+    )
+    return V.documents(spark, sf_dir).select("doc_id", page.alias("page")).select("doc_id", enrich.violations().alias("violations"))
+
+
+@query("SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END) = '' AND doc_id % 2 = 0 AS is_empty FROM documents")
+def empty_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
+    page = F.struct(F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")).alias("text"), some.alias("fields"), F.array().cast("array<string>").alias("tables"))
+    return V.documents(spark, sf_dir).select("doc_id", page.alias("page")).select("doc_id", enrich.empty_structured().alias("is_empty"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]{2,}')) AS words, lower(substring(text, 1, 500)) AS shown FROM documents) SELECT doc_id, round(CASE WHEN len(words) = 0 THEN 1.0 ELSE CAST(len(list_filter(words, lambda x: contains(shown, x))) AS DOUBLE) / len(words) END, 9) AS coverage FROM w""")
+def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.documents(spark, sf_dir).select("doc_id", F.round(enrich.coverage(F.col("text"), F.substring("text", 1, 500)), 9).alias("coverage"))
+
+
+@query(f"WITH {V.V_ITEMS}, p AS (SELECT DISTINCT doc_id, page FROM v_items) SELECT a.doc_id, a.page, list_sort(list(b.page)) AS around FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.page - b.page) <= 1 GROUP BY ALL")
+def neighbor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = V.v_items(spark, sf_dir).select("doc_id", "page").distinct()
+    return enrich.neighbours(pages).select("doc_id", "page", F.col("window").alias("around"))
+
+
+@query(f"WITH {V.V_LINES}, l AS (SELECT doc_id, trim(line) AS line FROM v_lines WHERE trim(line) <> '') SELECT doc_id, round(1 - CAST(count(DISTINCT line) AS DOUBLE) / count(*), 9) AS dup_ratio FROM l GROUP BY doc_id")
+def dup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.dup_line_ratio(I.lines(V.documents(spark, sf_dir))).withColumn("dup_ratio", F.round("dup_ratio", 9))
+
+
+@query(f"WITH {V.V_LINES}, l AS (SELECT v.doc_id, trim(line) AS line, substring(d.text, 1, 800) AS out FROM v_lines v JOIN documents d ON v.doc_id = d.doc_id WHERE trim(line) <> '') SELECT doc_id, round(avg(CASE WHEN contains(out, line) THEN 1.0 ELSE 0.0 END), 9) AS preserved FROM l GROUP BY doc_id")
+def text_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.documents(spark, sf_dir).select("doc_id", "text", F.substring("text", 1, 800).alias("output"))
+    return quality.text_preservation(d).withColumn("preserved", F.round("preserved", 9))
+
+
+@query(f"WITH {V.V_GRID}, a AS (SELECT table_id, r, c, coalesce(trim(text), '') AS text FROM v_grid), b AS (SELECT table_id, r, c, CASE WHEN (table_id + r) % 7 = 0 THEN 'x' ELSE text END AS text FROM a) SELECT a.table_id, round(avg(CASE WHEN a.text = b.text THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM a LEFT JOIN b ON a.table_id = b.table_id AND a.r = b.r AND a.c = b.c GROUP BY a.table_id")
+def table_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = V.v_grid(spark, sf_dir).withColumn("text", tables.cell_text(F.col("text")))
+    got = truth.withColumn("text", F.when((F.col("table_id") + F.col("r")) % 7 == 0, "x").otherwise(F.col("text")))
+    return quality.cell_accuracy(truth, got).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("""SELECT event_id, chr(CAST(65 + event_id % 26 AS INTEGER)) AS column_name, CASE WHEN value >= 1 THEN 'v' ELSE 'w' END AS band FROM events""")
+def cell_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.read(spark, sf_dir, "events").select("event_id", X.column_name(F.col("event_id") % 26).alias("column_name"), F.when(F.col("value") >= 1, "v").otherwise("w").alias("band"))
+
+
+@query()
+def stream_cache_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache's sliding expiry folded over each key's uses in order: hits, misses and refreshes."""
+    from ..streaming import cache_state
+
+    return cache_state.replay(V.v_access(spark, sf_dir))
+
+
+@query()
+def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = ["89504E470D0A1A0A0000000D", "FFD8FFE000104A4649460001", "474946383961010001008000", "524946460000000057454250", "49492A000800000000000000", "424D00000000000000000000", "0000001866747970686569630000", "00000018667479706176696600", "AABB"]
+    h = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % len(heads) + 1).cast("int")))
+    return V.documents(spark, sf_dir).select("doc_id", formats.image_kind(h).alias("kind"))
