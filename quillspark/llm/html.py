@@ -161,6 +161,7 @@ LABELLED = """
 1 0 0 0 60 0 1 0 1 1 1; 9 0 0 0 80 .02 1 0 1 1 1; 60 0 9 0 45 0 1 0 0 1 1; 1 0 60 0 30 0 1 0 0 1 1; 2 0 1 0 1 0 1 0 0 1 1; 210 .01 40 0 0 0 1 0 0 1 1
 4 1 50 0 70 0 1 0 0 1 1; 12 .5 80 0 33 .1 1 0 0 1 1; 3 .33 12 .1 9 0 1 0 0 1 1; 33 .05 5 1 12 0 1 0 0 1 1; 1 0 2 1 12 0 1 0 1 1 1; 7 0 3 1 0 0 1 0 0 1 1
 900 0 8 0 4 1 1 0 0 1 1; 15 0 10 0 8 0 1 0 0 1 1; 6 0 4 1 9 0 1 0 1 1 1; 8 0 0 0 300 0 1 0 1 1 1; 40 0 0 0 0 0 1 0 0 1 1; 2 1 0 0 0 0 1 0 0 1 1
+6 0 30 0 3 1 1 0 0 1 1; 2 0 60 0 2 1 1 0 0 1 1; 20 0 15 0 4 1 1 0 0 1 1; 1 0 3 0 5 1 1 0 1 1 1; 45 0 45 0 2 1 1 0 0 1 1; 3 0 2 1 1 1 1 0 0 1 1
 1 1 1 1 1 1 0 1 0 1 0; 2 1 0 0 1 1 0 1 0 1 0; 30 0 1 1 9 0 0 1 0 1 0; 12 0 2 1 10 0 0 1 0 1 0; 25 0 200 0 0 0 0 1 0 1 0; 7 .3 90 0 0 0 0 1 0 1 0
 45 0 120 0 40 0 1 1 0 1 0; 60 .1 45 0 30 0 1 1 0 1 0; 4 1 60 0 0 0 1 1 0 1 0; 9 0 60 0 20 0 1 1 1 1 0; 110 0 60 0 80 0 1 1 0 1 0; 20 0 0 0 0 0 1 1 0 1 0
 14 0 3 1 9 0 0 0 0 1 0; 40 0 0 0 9 0 0 0 0 1 0; 3 0 0 0 2 1 0 0 1 1 0; 90 0 60 0 0 0 0 0 0 1 0; 5 1 4 1 6 1 0 0 0 1 0; 8 .1 1 1 70 0 0 0 0 1 0
