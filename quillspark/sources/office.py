@@ -142,7 +142,8 @@ def parse_docx(content: bytes, options: dict) -> Parsed:
     names = {s.get(W + "styleId"): (n.get(W + "val") if (n := s.find(W + "name")) is not None else "") for s in (styles.findall(W + "style") if styles is not None else [])}
     items: list[Item] = []
     page, fresh = 1, False
-    for e in root.find(W + "body") or []:
+    body = root.find(W + "body")
+    for e in body if body is not None else []:
         if e.tag == W + "p":
             for b in e.iter():
                 if b.tag == W + "br" and b.get(W + "type") == "page" or b.tag == W + "lastRenderedPageBreak" and not fresh:
