@@ -82,10 +82,11 @@ def raw_scores(bias: float, weights: np.ndarray, factors: np.ndarray, docs: np.n
 def fit_machine(labels: np.ndarray, term_sets: list[np.ndarray], steps: int = 300, rate: float = 0.05, seed: int = 7) -> Machine:
     """Choose the terms by chi-squared, then fit all parameters by Adam on the logistic loss with L2.
 
-    Without rows of both classes there is nothing to tell apart: every text scores the (smoothed) share of class 1.
+    Without rows of both classes there is nothing to tell apart: every text scores the smoothed
+    share of class 1, without any rows a third, so that nothing is rejected unseen.
     """
     n, positive = len(labels), int(labels.sum())
-    bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
+    bias = float(np.log((positive + 0.5) / (n - positive + 1)))
     none = Machine(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, FACTORS)))
     if not positive or positive == n:
         return none
