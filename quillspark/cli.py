@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--format", default="markdown", choices=["markdown", "json", "text", "parquet"])
     p.add_argument("--pattern")
     p.add_argument("--exclude", action="append", default=[])
-    p.add_argument("--sort", default="name", choices=["name", "size", "date"])
+    p.add_argument("--sort", default="name", choices=sorted(["size", "name", "date"]))
     p.add_argument("--max-files", type=int)
     p.add_argument("--encoding")
     p.add_argument("--delimiter")

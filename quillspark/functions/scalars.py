@@ -16,8 +16,8 @@ def markdown_counts(text: Column) -> dict[str, Column]:
     """Headings (lines that begin with # after space, code included), links (images with a name included) and images."""
     return {
         "headers": F.size(F.filter(F.split(text, "\n", -1), lambda l: F.ltrim(l).startswith("#"))).cast("long"),
-        "links": F.regexp_count(text, F.lit(r"\[([^\]]+)\]\(([^)]+)\)")).cast("long"),
-        "images": F.regexp_count(text, F.lit(r"!\[([^\]]*)\]\(([^)]+)\)")).cast("long"),
+        "links": F.regexp_count(text, F.lit(r"\[[^\]]+]\([^)]+\)")).cast("long"),
+        "images": F.regexp_count(text, F.lit(r"!\[[^\]]*]\([^)]+\)")).cast("long"),
     }
 
 
@@ -31,11 +31,11 @@ def html_meta(html: Column) -> dict[str, Column]:
 
 def footnote_refs(text: Column) -> Column:
     """Ids that a text refers to, in order; definitions don't count."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\[\^(\w+)\](?!:)"), 1)
+    return F.regexp_extract_all(text, F.lit(r"(?U)\[\^(\w+)](?!:)"), 1)
 
 
 def strip_page_number(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^\d+$", ""), r"^[Pp]age\s+\d+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"^\d+$", ""), r"^[pP]age\s+\d+$", "")
 
 
 def flat_json_to_markdown(json: Column) -> Column:

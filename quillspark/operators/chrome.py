@@ -14,7 +14,7 @@ def zone(y: Column, height: Column) -> Column:
 
 def chrome_key(content: Column) -> Column:
     """The text without surrounding space; a bare page number has one key of its own."""
-    t = F.regexp_replace(F.trim(F.regexp_replace(F.trim(content), r"^\d+$", "")), r"^[Pp]age\s+\d+$", "")
+    t = F.regexp_replace(F.trim(F.regexp_replace(F.trim(content), r"^\d+$", "")), r"^[pP]age\s+\d+$", "")
     return F.when(F.trim(t) == "", PAGE_NUMBER).otherwise(F.trim(t))
 
 

@@ -52,14 +52,13 @@ def is_decorative(width: Column, height: Column, page_width: Column, page_height
     return (width < page_width * 0.1) & (height < page_height * 0.1)
 
 
-# -- headings -------------------------------------------------------------------------------------
+# Headings
 
 BULLET = r"^[•\-\*–—▪▫●○■□]\s+"
-SHORT_MARK = r"^(?:\d+|[a-zA-Z])[\.\)]\s+"
+SHORT_MARK = r"^([A-Za-z]|\d+)[).]\s+"
+HAN, FORMAL = "一二三四五六七八九十百千", "壹貳參肆伍陸柒捌玖拾"
 #: Outline numbers; what follows must not go on like a decimal or a version.
-OUTLINE = (
-    r"^\d+(?:\.\d+)+", r"^\d+(?:-\d+)+", r"^\d+[\.)、．]", r"^[\(（]\d+[\)）]", r"^[一二三四五六七八九十百千]+[、．\.]", r"^[壹貳參肆伍陸柒捌玖拾]+[、．\.]", r"^[\(（][一二三四五六七八九十百千]+[\)）]",
-)
+OUTLINE = (r"^\d+(?:(?:\.\d+)+|(?:-\d+)+|[.．、)])", rf"^[（(](?:\d+|[{HAN}]+)[)）]", rf"^(?:[{HAN}]+|[{FORMAL}]+)[.．、]")
 EXPLICIT = r"(?i)^(?:第[0-9一二三四五六七八九十百千]+[章節条條]|附錄[0-9一二三四五六七八九十]*|(?:appendix|chapter|section)\s+[0-9a-z]+)"
 BOUNDARY = r"(?=$|\s|[^0-9A-Za-z])"
 
@@ -97,7 +96,7 @@ def heading_features(blocks: DataFrame) -> DataFrame:
         .withColumn("max_size_ratio", F.when(F.col("max_size") > 0, F.col("block_size") / F.col("max_size")).otherwise(1.0))
         .withColumn("is_explicit", F.col("explicit") != "").withColumn("is_structured", structured).withColumn("has_cjk", n.rlike(CJK))
         .withColumn("has_checkbox", n.rlike("^[□■☑☐]")).withColumn("has_sentence_end", n.rlike("[。！？!?；;]") | n.endswith("."))
-        .withColumn("goes_on", n.rlike("[，,、；;]$")).withColumn("separators", seps).withColumn("is_form_field", n.rlike(r"_{3,}|\.{4,}|…{2,}"))
+        .withColumn("goes_on", n.rlike("[，,、；;]$")).withColumn("separators", seps).withColumn("is_form_field", n.rlike(r"…{2,}|\.{4,}|_{3,}"))
         .withColumn("is_long_clause", structured & (F.length(n) > 32) & any_sep(F.col("after_mark")))
     )
 

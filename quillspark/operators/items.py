@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CAPTION = r"(?i)^(Figure|Fig\.?|Table|Tbl\.?|Chart|Graph|Image|Plate|Scheme)\s*\d*[\.:)]?"
-SOURCE_NOTE = r"(?i)^(Source|Note|Notes)[\.:)]"
-OFFICE_LIST = r"^[•\-\*\d]+[\.\)]\s+"
+#: How captions begin; a number and a mark may follow.
+CAPTION = r"(?i)^(Chart|Fig|Graph|Image|Plate|Scheme|Table|Tbl)"
+SOURCE_NOTE = r"(?i)^(Notes?|Source)[.:)]"
+OFFICE_LIST = r"^[*\d•-]+[).]\s+"
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,6 +76,6 @@ def line_count(text: Column) -> Column:
 def plain_text(markdown: Column) -> Column:
     """Markdown with the marks of headings, bold, italics, links and code taken out, in that order, anywhere in a line."""
     out = F.regexp_replace(markdown, r"#+ ", "")
-    for pattern, to in ((r"(?d)\*\*(.*?)\*\*", "$1"), (r"(?d)\*(.*?)\*", "$1"), (r"(?d)\[(.*?)\]\(.*?\)", "$1"), (r"(?d)`(.*?)`", "$1")):
+    for pattern, to in ((r"(?d)\*\*(.*?)\*\*", "$1"), (r"(?d)\*(.*?)\*", "$1"), (r"(?d)\[(.*?)]\(.*?\)", "$1"), (r"(?d)`(.*?)`", "$1")):
         out = F.regexp_replace(out, pattern, to)
     return out

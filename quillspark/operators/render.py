@@ -30,7 +30,7 @@ def render_office(items: DataFrame, label: str = "page") -> DataFrame:
     return marked.groupBy("doc_id").agg(_document(F.concat_ws("\n\n", "marker", render_item(F.col("type"), F.col("content")))).alias("markdown"))
 
 
-FOOTNOTE = r"^(\d+)[\.\)\s]+(.+)"
+FOOTNOTE = r"^(\d+)[\s.)]+(.+)"
 
 
 def render_pdf(items: DataFrame) -> DataFrame:

@@ -17,10 +17,10 @@ from .items import level, render_item
 @dataclass(frozen=True)
 class ChunkConfig:
     max_chunk_size: int = 1500
+    size_unit: str = "chars"
     overlap: int = 200
-    split_on_heading_level: int = 2
     keep_tables_whole: bool = True
-    size_unit: str = "chars"
+    split_on_heading_level: int = 2
 
     def __post_init__(self) -> None:
         if self.max_chunk_size <= 0 or self.overlap < 0 or self.size_unit not in ("chars", "tokens"):
@@ -55,7 +55,7 @@ def section_hierarchy(items: DataFrame, split_level: int = 2) -> DataFrame:
     return heads.withColumn("base", base).select("doc_id", "section_id", F.when((F.col("lvl") == 1) | F.col("base").isNull(), F.array("content")).otherwise(F.array("base", "content")).alias("path"))
 
 
-# -- folds ----------------------------------------------------------------------------------------
+# Folds
 
 CHUNKS = T.StructType(
     [
@@ -67,7 +67,7 @@ CHUNKS = T.StructType(
 
 def measure(config: ChunkConfig):
     """Length and tail functions in the wanted unit; tokens fall back to characters where no encoding can be loaded."""
-    if config.size_unit == "tokens":
+    if config.size_unit != "chars":
         try:
             import tiktoken
 
@@ -119,8 +119,8 @@ def overlap(contents: list[str], config: ChunkConfig) -> list[str]:
     return out
 
 
-REFERENCE = re.compile(r"\[\^(\w+)\](?!:)")
-DEFINITION = re.compile(r"^\[\^(\w+)\]:\s*(.+)")
+REFERENCE = re.compile(r"\[\^(?P<ref>\w+)](?!:)")
+DEFINITION = re.compile(r"\[\^(?P<ref>\w+)]:\s*.")
 
 
 def attach_footnotes(contents: list[str], notes: dict[str, str]) -> list[str]:

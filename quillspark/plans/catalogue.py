@@ -40,7 +40,7 @@ def _rows(pairs: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in p) + ")" for p in pairs)
 
 
-# -- routing --------------------------------------------------------------------------------------
+# Routing
 
 _ENDINGS = [f for f, _, _ in formats.FORMATS] + ["markdown", "htm", "HTM", "DocX", "xyz", ""]
 _NAME = "'f' || CAST(doc_id AS VARCHAR) || CASE WHEN e = '' THEN '' ELSE '.' || e END"
@@ -92,7 +92,7 @@ def mime_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.mimes_of_format(spark)
 
 
-# -- text -----------------------------------------------------------------------------------------
+# Text
 
 
 @query(f"WITH {V.V_LINES} SELECT doc_id, string_agg(CASE WHEN {V.CAPS} THEN '## ' || line ELSE line END, chr(10) ORDER BY seq) AS markdown FROM v_lines GROUP BY doc_id")
@@ -105,7 +105,7 @@ def txt_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", I.word_count(F.col("text")).alias("words"), I.line_count(F.col("text")).alias("lines"), F.length("text").cast("long").alias("chars"))
 
 
-_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '#+ ', '', 'g'), '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '\[(.*?)\]\(.*?\)', '\1', 'g'), '`(.*?)`', '\1', 'g')"""
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '#+ ', '', 'g'), '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '\[(.*?)]\(.*?\)', '\1', 'g'), '`(.*?)`', '\1', 'g')"""
 _MARKED = "'# ' || text || ' **bold** and [link](http://x/' || CAST({id} AS VARCHAR) || ') `code` *it*'"
 
 
@@ -121,8 +121,8 @@ _HEAD = r"(?:^|\n)[ \t]*#"
 
 
 @query(
-    r"""SELECT doc_id, CAST(len(list_filter(string_split(t, chr(10)), lambda l: ltrim(l) LIKE '#%')) AS BIGINT) AS headers, CAST(len(regexp_extract_all(t, '\[([^\]]+)\]\(([^)]+)\)')) AS BIGINT) AS links,
- CAST(len(regexp_extract_all(t, '!\[([^\]]*)\]\(([^)]+)\)')) AS BIGINT) AS images FROM (SELECT doc_id, '# h' || chr(10) || text || ' [a](b) ![i](p' || CAST(doc_id AS VARCHAR) || ')' AS t FROM documents)"""
+    r"""SELECT doc_id, CAST(len(list_filter(string_split(t, chr(10)), lambda l: ltrim(l) LIKE '#%')) AS BIGINT) AS headers, CAST(len(regexp_extract_all(t, '\[[^\]]+]\([^)]+\)')) AS BIGINT) AS links,
+ CAST(len(regexp_extract_all(t, '!\[[^\]]*]\([^)]+\)')) AS BIGINT) AS images FROM (SELECT doc_id, '# h' || chr(10) || text || ' [a](b) ![i](p' || CAST(doc_id AS VARCHAR) || ')' AS t FROM documents)"""
 )
 def markdown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("# h\n"), F.col("text"), F.lit(" [a](b) ![i](p"), F.col("doc_id").cast("string"), F.lit(")"))
@@ -149,7 +149,7 @@ def classify_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH """ + V.V_LINES + r""", n AS (SELECT doc_id, seq, trim(regexp_replace(CASE seq % 4 WHEN 0 THEN CAST(seq AS VARCHAR) || '. ' ELSE '' END || line, '\s+', ' ', 'g')) AS t FROM v_lines)
- SELECT doc_id, seq, t <> '' AND (regexp_matches(t, '^[•\-\*–—▪▫●○■□]\s+') OR regexp_matches(t, '^(?:\d+|[a-zA-Z])[\.\)]\s+') OR regexp_matches(t, '^\d+(?:\.\d+)+(?:$|\s|[^0-9A-Za-z])') OR regexp_matches(t, '^\d+(?:-\d+)+(?:$|\s|[^0-9A-Za-z])')
+ SELECT doc_id, seq, t <> '' AND (regexp_matches(t, '^[•\-\*–—▪▫●○■□]\s+') OR regexp_matches(t, '^([A-Za-z]|\d+)[).]\s+') OR regexp_matches(t, '^\d+(?:\.\d+)+(?:$|\s|[^0-9A-Za-z])') OR regexp_matches(t, '^\d+(?:-\d+)+(?:$|\s|[^0-9A-Za-z])')
   OR regexp_matches(t, '^\d+[\.)、．](?:$|\s|[^0-9A-Za-z])') OR regexp_matches(t, '^[\(（]\d+[\)）](?:$|\s|[^0-9A-Za-z])')) AS marked FROM n"""
 )
 def list_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", X.one_space(F.col("text")).alias("t"), F.sha2("text", 256).alias("sha"), F.length(F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")).cast("long").alias("b64"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text || ' [^1] and [^b2] [^n' || CAST(doc_id % 3 AS VARCHAR) || ']: def' AS t FROM documents) SELECT doc_id, regexp_extract_all(regexp_replace(t, '\[\^\w+\]:', '', 'g'), '\[\^(\w+)\]', 1) AS refs FROM m""")
+@query(r"""WITH m AS (SELECT doc_id, text || ' [^1] and [^b2] [^n' || CAST(doc_id % 3 AS VARCHAR) || ']: def' AS t FROM documents) SELECT doc_id, regexp_extract_all(regexp_replace(t, '\[\^\w+\]:', '', 'g'), '\[\^(\w+)]', 1) AS refs FROM m""")
 def footnote_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.col("text"), F.lit(" [^1] and [^b2] [^n"), (F.col("doc_id") % 3).cast("string"), F.lit("]: def"))
     return V.documents(spark, sf_dir).select("doc_id", X.footnote_refs(t).alias("refs"))
@@ -173,7 +173,7 @@ def truncate_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", render.truncate(F.col("text"), 100).alias("cut"), tables.escape(F.col("text")).alias("escaped"))
 
 
-# -- data formats ---------------------------------------------------------------------------------
+# Data formats
 
 
 def _pipe_sql(name: str, cols: list[str], order: str) -> str:
@@ -238,7 +238,7 @@ def email_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", X.email_markdown(subject, [("From", F.col("role")), ("Cc", F.lit(None).cast("string"))], F.col("text")).alias("markdown"))
 
 
-# -- sections and chunks --------------------------------------------------------------------------
+# Sections and chunks
 
 _SECTIONED = "s AS (SELECT *, CASE WHEN type IN ('text:title', 'text:section') THEN 1 ELSE 0 END AS head FROM {v}), g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS section_id FROM s)"
 
@@ -303,7 +303,7 @@ def footnote_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.attach_footnotes(c, notes)
 
 
-# -- rendering ------------------------------------------------------------------------------------
+# Rendering
 
 _MD = "CASE type WHEN 'text:title' THEN '# ' || content WHEN 'text:section' THEN '## ' || content WHEN 'text:caption' THEN '*' || content || '*' ELSE content END"
 
@@ -327,7 +327,7 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.page_markers(V.v_items(spark, sf_dir), True, "slide").select("doc_id", "seq", "marker")
 
 
-# -- repeated heads and feet ----------------------------------------------------------------------
+# Repeated heads and feet
 
 _ZONED = f"""{V.V_CHROME}, z AS (SELECT *, CASE WHEN position_y / 800 < 0.12 THEN 'header' WHEN position_y / 800 > 0.88 THEN 'footer' END AS zone FROM v_chrome), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM v_chrome GROUP BY doc_id HAVING count(DISTINCT page) > 3),
  k AS (SELECT doc_id, content AS key, zone, count(DISTINCT page) AS n_pages FROM z WHERE zone IS NOT NULL GROUP BY ALL), rep AS (SELECT k.* FROM k JOIN t ON k.doc_id = t.doc_id WHERE n_pages >= total * 0.5)"""
@@ -343,7 +343,7 @@ def retype_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chrome.retype_chrome(V.v_chrome(spark, sf_dir)).select("doc_id", "seq", "page", "content", "type")
 
 
-# -- geometry -------------------------------------------------------------------------------------
+# Geometry
 
 
 @query(f"WITH {V.V_GEO} SELECT doc_id, page, avg(size) AS avg_size, max(size) AS max_size FROM v_geo GROUP BY ALL")
@@ -409,7 +409,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH {V.V_LINES}, {_FEATS}"
     + r""" SELECT doc_id, seq, CAST(length(n) AS INTEGER) AS length, round(block_size / 11.0, 9) AS size_ratio, round(block_size / 14.0, 9) AS max_size_ratio, regexp_matches(n, '[一-鿿]') AS has_cjk, regexp_matches(n, '[。！？!?；;]') OR suffix(n, '.') AS has_sentence_end,
- regexp_matches(n, '[，,、；;]$') AS goes_on, CAST(length(n) - length(replace(replace(replace(replace(replace(n, ',', ''), '，', ''), '、', ''), ':', ''), '：', '')) AS INTEGER) AS separators, regexp_matches(n, '_{3,}|\.{4,}|…{2,}') AS is_form_field FROM f"""
+ regexp_matches(n, '[，,、；;]$') AS goes_on, CAST(length(n) - length(replace(replace(replace(replace(replace(n, ',', ''), '，', ''), '、', ''), ':', ''), '：', '')) AS INTEGER) AS separators, regexp_matches(n, '…{2,}|\.{4,}|_{3,}') AS is_form_field FROM f"""
 )
 def heading_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("doc_id", "seq", "length", F.round("size_ratio", 9).alias("size_ratio"), F.round("max_size_ratio", 9).alias("max_size_ratio"), "has_cjk", "has_sentence_end", "goes_on", F.col("separators").cast("int").alias("separators"), "is_form_field")
@@ -425,7 +425,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.v_geo(spark, sf_dir).select("page", "event_id", F.row_number().over(Window.partitionBy("page").orderBy("y0", "event_id")).alias("place"))
 
 
-# -- tables ---------------------------------------------------------------------------------------
+# Tables
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,7 +500,7 @@ def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.column_stats(V.v_grid(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))).withColumn("width", F.col("width").cast("long"))
 
 
-# -- enrichment and caches ------------------------------------------------------------------------
+# Enrichment and caches
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '[image: OCR unavailable]' ELSE 'q' || CAST(l.quality AS VARCHAR) END AS text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.doc_id IS NOT NULL AND l.toxic = 1)")

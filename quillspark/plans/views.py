@@ -21,8 +21,8 @@ def v_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CAPS = "(trim(line) <> '' AND upper(line) = line AND lower(line) <> line AND length(line) < 100)"
-KIND = r"""CASE WHEN regexp_matches(line, '^[•\-\*\d]+[\.\)]\s+') THEN 'text:list'
- WHEN regexp_matches(line, '(?i)^(Figure|Fig\.?|Table|Tbl\.?|Chart|Graph|Image|Plate|Scheme)\s*\d*[\.:)]?') OR regexp_matches(line, '(?i)^(Source|Note|Notes)[\.:)]') THEN 'text:caption' ELSE 'text:normal' END"""
+KIND = r"""CASE WHEN regexp_matches(line, '^[*\d•-]+[).]\s+') THEN 'text:list'
+ WHEN regexp_matches(line, '(?i)^(Chart|Fig|Graph|Image|Plate|Scheme|Table|Tbl)') OR regexp_matches(line, '(?i)^(Notes?|Source)[.:)]') THEN 'text:caption' ELSE 'text:normal' END"""
 V_LINES = """v_lines AS (
  SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, l[i] AS line
  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) t, unnest(range(1, len(l) + 1)) u(i)

@@ -57,7 +57,7 @@ def batch_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("n"))
 
 
-# -- sinks ----------------------------------------------------------------------------------------
+# Sinks
 
 
 def save(parsed: DataFrame, path: str, output_format: str = "markdown") -> None:
@@ -101,7 +101,7 @@ def save_one_file_each(parsed: DataFrame, folder: str, suffix: str = ".md") -> D
     return parsed.filter(F.col("error").isNull()).select("path", "content").mapInArrow(write, "path string, output_file string")
 
 
-# -- cache of whole documents ---------------------------------------------------------------------
+# Cache of whole documents
 
 
 def document_key(options: dict[str, Any]) -> Column:

@@ -7,8 +7,8 @@ import xml.etree.ElementTree as ET
 
 from .parsers import Item, Parsed, ProcessingError, _decode, _meta, parser
 
-LINK = re.compile(r"\[([^\]]+)\]\(([^)]+)\)")
-IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
+LINK = re.compile(r"\[[^\]]+]\([^)]+\)")
+IMAGE = re.compile(r"!\[[^\]]*]\([^)]+\)")
 
 
 def front_matter(text: str) -> tuple[dict | None, str]:

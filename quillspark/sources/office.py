@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
 import xml.etree.ElementTree as ET
 
+from . import formats
 from .markup import safe_xml
 from .parsers import Item, Parsed, ProcessingError, UnsupportedFormatError, _meta, parser
 
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-CAPTION = re.compile(r"^(Figure|Fig\.?|Table|Tbl\.?|Chart|Graph|Image|Plate|Scheme)\s*\d*[.:)]?|^(Source|Note|Notes)[.:)]", re.I)
+NS = "http://schemas.openxmlformats.org"
+W = "{" + NS + "/wordprocessingml/2006/main}"
+A = "{" + NS + "/drawingml/2006/main}"
+P = "{" + NS + "/presentationml/2006/main}"
+S = "{" + NS + "/spreadsheetml/2006/main}"
+R = "{" + NS + "/officeDocument/2006/relationships}"
+CAPTION = re.compile(r"Chart|Fig|Graph|Image|Plate|Scheme|Table|Tbl|(?:Notes?|Source)[.:)]", re.I)
 LISTED = re.compile(r"^[•\-*\d]+[.)]\s+")
 
 
@@ -32,7 +35,7 @@ def classify(text: str, style: str) -> str:
     return "text:caption" if CAPTION.match(text) else "text:normal"
 
 
-# -- grids ----------------------------------------------------------------------------------------
+# Grids
 
 
 def grid_to_text(rows: list[list[str]], spans: dict[tuple[int, int], tuple[int, int]], always_html: bool = False) -> str:
@@ -43,7 +46,7 @@ def grid_to_text(rows: list[list[str]], spans: dict[tuple[int, int], tuple[int,
     rows = [[(v or "").strip() for v in r] + [""] * (width - len(r)) for r in rows]
     if not spans and not always_html:
         line = lambda r: "| " + " | ".join(v.replace("\n", "<br>").replace("|", "\\|") for v in r) + " |"
-        return "\n".join([line(rows[0]), "| " + " | ".join(["---"] * width) + " |", *map(line, rows[1:])]) + "\n"
+        return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])]) + "\n"
     under = {(i, j) for (r, c), (h, w) in spans.items() for i in range(r, min(r + h, len(rows))) for j in range(c, min(c + w, width))} - set(spans)
     out = ["<table>"]
     for r, cells in enumerate(rows):
@@ -53,7 +56,7 @@ def grid_to_text(rows: list[list[str]], spans: dict[tuple[int, int], tuple[int,
                 continue
             h, w = spans.get((r, c), (1, 1))
             attrs = (f' rowspan="{h}"' if h > 1 else "") + (f' colspan="{w}"' if w > 1 else "")
-            shown.append(f"<{tag}{attrs}>{text.replace('&', '&amp;').replace('<', '&lt;').replace('>', '&gt;')}</{tag}>")
+            shown.append(f"<{tag}{attrs}>{html.escape(text, quote=False)}</{tag}>")
         out.append("  <tr>" + "".join(shown) + "</tr>")
     return "\n".join([*out, "</table>"])
 
@@ -88,7 +91,7 @@ def office_markdown(items: list[Item], label: str) -> str:
     return "\n\n".join(out)
 
 
-# -- documents ------------------------------------------------------------------------------------
+# Documents
 
 
 def _runs(p: ET.Element) -> str:
@@ -174,7 +177,7 @@ def parse_docx(content: bytes, options: dict) -> Parsed:
     return Parsed(office_markdown(items, "page"), _meta(page_count=page, word_count=words, **_core(z)), items)
 
 
-# -- slides ---------------------------------------------------------------------------------------
+# Slides
 
 
 def _paragraphs(shape: ET.Element) -> str:
@@ -233,7 +236,7 @@ def parse_pptx(content: bytes, options: dict) -> Parsed:
     return Parsed(office_markdown(items, "slide"), _meta(slide_count=len(slides), **_core(z)), items)
 
 
-# -- sheets ---------------------------------------------------------------------------------------
+# Sheets
 
 
 def _cell(ref: str) -> tuple[int, int]:
@@ -295,7 +298,7 @@ def parse_xlsx(content: bytes, options: dict) -> Parsed:
     return Parsed(office_markdown(items, "sheet"), _meta(sheet_names=", ".join(names), **_core(z)), items)
 
 
-# -- adapters -------------------------------------------------------------------------------------
+# Adapters
 
 
 def _adapter(what: str):
@@ -309,7 +312,7 @@ def _adapter(what: str):
 
 
 parser("pdf")(_adapter("pdf"))
-parser("doc", "xls", "ppt", "rtf", "pps")(_adapter("legacy"))
+parser(*(f for f, family, _ in formats.FORMATS if family == "legacy"))(_adapter("legacy"))
 
 
 @parser("png", "jpg", "jpeg", "gif", "bmp", "webp", "tiff", "tif", "heic", "heif", "avif")

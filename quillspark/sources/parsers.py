@@ -65,7 +65,7 @@ def _decode(content: bytes, options: dict) -> str:
     return content.decode(options.get("encoding") or "utf-8")
 
 
-# -- text and data --------------------------------------------------------------------------------
+# Text and data
 
 
 def caps_headings(text: str) -> str:
@@ -86,7 +86,8 @@ def padded_table(rows: list[list[str]]) -> str:
     full = [r + [""] * (width - len(r)) for r in rows]
     wide = [max(len(r[c]) for r in full) for c in range(width)]
     line = lambda r: "| " + " | ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)) + " |"
-    return "\n".join([line(full[0]), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, full[1:])])
+    rule = "".join("|" + "-" * (2 + w) for w in wide) + "|"
+    return "\n".join([line(full[0]), rule, *map(line, full[1:])])
 
 
 @parser("csv")
@@ -138,7 +139,7 @@ def parse_jsonl(content: bytes, options: dict) -> Parsed:
     return Parsed(f"# JSONL Data ({len(good)} records)\n\n{body}", _meta(record_count=len(good)))
 
 
-# -- HTML -----------------------------------------------------------------------------------------
+# HTML
 
 
 class _Markdown(HTMLParser):
@@ -224,11 +225,11 @@ def parse_html(content: bytes, options: dict) -> Parsed:
 
     html = _decode(content, options)
     title = re.search(r"<title[^>]*>(.*?)</title>", html, re.I | re.S)
-    visible = re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", html))
+    visible = re.sub(r"(?is)<(script|style)\b.*?</\1>|</?[a-z!][^>]*>", " ", html)
     return Parsed(markdown_of_html(html, options.get("clean", False)), _meta(title=title and title.group(1).strip(), word_count=len(visible.split()), link_count=len(re.findall(r"(?i)<a\s[^>]*href", html)), image_count=len(re.findall(r"(?i)<img\b", html))))
 
 
-# -- running them ---------------------------------------------------------------------------------
+# Running them
 
 PARSED = T.StructType(
     [

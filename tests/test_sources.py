@@ -8,9 +8,10 @@ from quillspark import cli
 from quillspark.sources import files, mail, markup, office, parsers
 from quillspark.streaming import pickup
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
-S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+NS = "http://schemas.openxmlformats.org"
+W = f'xmlns:w="{NS}/wordprocessingml/2006/main"'
+A = f'xmlns:a="{NS}/drawingml/2006/main" xmlns:p="{NS}/presentationml/2006/main"'
+S = f'xmlns="{NS}/spreadsheetml/2006/main" xmlns:r="{NS}/officeDocument/2006/relationships"'
 
 
 def zipped(**parts):
