@@ -91,6 +91,14 @@ def words(group: list[bytes], limit: int = 1 << 19, terms: bool = False) -> tupl
     return span_hashes(byte_symbols(raw), starts, ends), bounds
 
 
+def word_spans(group: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``words`` for texts that are not over-long: also the lower-cased bytes and each word's start and end in them."""
+    lengths = np.fromiter((len(t) + 1 for t in group), np.int64, len(group))
+    raw = LOWER[np.frombuffer(b"\n".join(group) + b"\n", np.uint8)]
+    starts, ends = spans(~SPACE[raw])
+    return raw.tobytes(), starts, ends, span_hashes(byte_symbols(raw), starts, ends), np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+
+
 def pieces(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[list[int], list[bytes]]]:
     """Texts in groups of about ``limit`` bytes, long ones cut at white space; yields (text numbers, pieces)."""
     owners: list[int] = []

@@ -73,7 +73,7 @@ def byte_alphabet() -> dict[str, int]:
 class SpeculativeBPE:
     """Encoder and decoder for one vocabulary file (JSON of the tokenizers library, byte-level BPE)."""
 
-    def __init__(self, path: str, cache_words: int = 400_000, use_special: bool = True) -> None:
+    def __init__(self, path: str, cache_words: int = 300_000, use_special: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -124,7 +124,7 @@ class SpeculativeBPE:
         self._word_ids, self._word_ends, self._words_known = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
         self._pairs, self._pairs_ok = np.zeros(0, np.int64), np.zeros(0, bool)
 
-    # -- verify ---------------------------------------------------------------------------------
+    # verify
 
     def _merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self._size + b
@@ -169,7 +169,7 @@ class SpeculativeBPE:
             self._pairs = np.insert(self._pairs, at, fresh)
         return self._pairs_ok[np.searchsorted(self._pairs, key)] if len(key) else np.zeros(0, bool)
 
-    # -- speculate ------------------------------------------------------------------------------
+    # speculate
 
     def propose(self, word: bytes) -> list[int] | None:
         """Greedy longest match; None where a byte has no usable token."""
@@ -239,7 +239,7 @@ class SpeculativeBPE:
         self._word_ends = np.concatenate((self._word_ends, self._word_ends[-1] + np.cumsum(counts)))
         self._words_known += len(fresh)
 
-    # -- whole texts ----------------------------------------------------------------------------
+    # whole texts
 
     def _words(self, text: str) -> list[str]:
         """Words of a text; a special token is a word of its own kind."""
