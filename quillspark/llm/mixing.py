@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SALT = "mix:"
+#: A table of so many sources (a key and a name each, some 10 MB at most) is broadcast.
+FEW_SOURCES = 50_000
 BUCKET_DIGITS = 3  # hex digits of the key: 4096 ranges a source
 
 
@@ -98,8 +100,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix itself: the rows of ``docs`` with all their columns, each as often as the mix takes it.
 
     Documents stay whole, so a source ends at the document border nearest to its budget. As the hash order
-    is fixed, that border is one key a source: the texts meet a table of one row a source, and are never
-    shuffled for it.
+    is fixed, that border is one key a source: the texts meet a table of one row a source, which is
+    broadcast if its counted rows are few.
     """
     placed = _placed(docs, id_col, text_col, source_col)
     begun = (F.col("left") > 0) & (F.col("start") * 2 + F.col("size") <= F.col("left") * 2)
@@ -107,6 +109,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cuts = cuts.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
     mine = F.struct(_key(id_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), _size(text_col).alias("size"))
     copies = F.col("__epochs") + F.coalesce((mine <= F.col("__cut")).cast("long"), F.lit(0))
+    if cuts.count() <= FEW_SOURCES:  # else the planner's choice, which may shuffle the texts by source
+        cuts = F.broadcast(cuts)
     joined = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(docs.columns)
 
