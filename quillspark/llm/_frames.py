@@ -79,13 +79,17 @@ def as_texts(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
 
+#: Rows handled at once; a batch's texts need not all be Python objects at the same time.
+SLICE = 1000
+
+
 def per_batch(build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Turn "set up once, then map each batch" into the function that ``mapInArrow`` wants."""
+    """Turn "set up once, then map each slice of a batch" into the function that ``mapInArrow`` wants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
         for b in batches:
-            if b.num_rows:
-                yield step(b)
+            for at in range(0, b.num_rows, SLICE):
+                yield step(b.slice(at, SLICE))
 
     return run
