@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import bpe, mixing, neardup, toxicity
+from quillspark.llm._frames import written
 
 ORACLE_SQL = None
 
@@ -36,6 +37,8 @@ STAGES = [("toxicity", reject_toxic), ("near duplicates", drop_copies), ("mixing
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:  # the next stage reads what this one has written
+            docs = written(docs, f"stage{k}")
     return docs

@@ -61,3 +61,16 @@ def test_stages_and_run(spark, tmp_path):
             docs, given = spark.read.parquet(path), want
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
     assert zlib.crc32(b"") == 0
+
+
+def test_each_stage_but_the_last_is_read_from_parquet(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a", "en", "s", 1)], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    given = []
+
+    def stage(spark, docs, sf_dir):
+        given.append(docs.inputFiles())
+        return docs.limit(5)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    assert "documents.parquet" in given[0][0] and "stage0" in given[1][0] and "stage1" in given[2][0]
