@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +20,18 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     Columns are found by position, so others whose names differ only in case (or repeat) never clash.
     The exact spelling wins; else the first case-insensitive match.
     """
-    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered(df).select(*[F.col(place(df, old)).alias(new) for new, old in names.items()])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns renamed c0, c1, ...: none clash. ``.toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name in ``numbered(df)`` of the column spelled exactly so, or else of the first but for case."""
     lower = [c.lower() for c in df.columns]
-    out = []
-    for new, old in names.items():
-        at = df.columns.index(old) if old in df.columns else lower.index(old.lower())
-        out.append(F.col(f"c{at}").alias(new))
-    return flat.select(*out)
+    return f"c{df.columns.index(name) if name in df.columns else lower.index(name.lower())}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) make a local folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where it is unset, a local master (tests) gets a temporary folder, and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quill-ckpt-"))
 
 
@@ -44,15 +54,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What ``written`` wrote for each context; it goes when the driver ends.
+_written: list[tuple[SparkContext, str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet (compressed, unlike a checkpoint) into the shared checkpoint folder and read it again."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _delete_written() -> None:
+    for sc, path in _written:
+        if sc._jsc is not None and not sc._jsc.sc().isStopped():
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = re.compile(rb"[\x09-\x0d ]")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -65,9 +67,8 @@ def _pieces(text: bytes, limit: int) -> Iterator[bytes]:
     """A long text in pieces of about ``limit`` bytes that end at white space."""
     at = 0
     while len(text) - at > limit:
-        stop = at + limit
-        while stop < len(text) and not SPACE[text[stop]]:
-            stop += 1
+        space = _SPACE.search(text, at + limit)
+        stop = space.start() if space else len(text)
         yield text[at:stop]
         at = stop
     yield text[at:]
@@ -81,7 +82,7 @@ def words(group: list[bytes], limit: int = 1 << 19, terms: bool = False) -> tupl
     """
     inside_of = TERM if terms else ~SPACE
     if len(group) == 1 and len(group[0]) > 2 * limit:
-        found = [words([p], limit, terms)[0] for p in _pieces(group[0], limit)]
+        found = [words([p], len(p), terms)[0] for p in _pieces(group[0], limit)]
         flat = np.concatenate(found)
         return flat, np.array([0, len(flat)])
     lengths = np.fromiter((len(t) + 1 for t in group), np.int64, len(group))
