@@ -24,8 +24,8 @@ from . import _vec
 from ._frames import parts_of, pick
 
 KEPT = 128
-#: The dictionary starts anew after so many characters, so that a text of any length is parsed in bounded memory.
-WINDOW = 1 << 20
+#: Texts of more characters are parsed with one flat dictionary, which takes half the memory of nested ones; the phrases are the same.
+FLAT = 1 << 20
 
 PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("fingerprint", T.StringType())])
 EDITED = T.StructType(
@@ -49,20 +49,30 @@ def _parse(root: dict, node: dict, text: str, at: int, ends: list[int], grown: l
 
 
 def phrase_ends(text: str) -> list[int]:
-    """Where each phrase of the text ends; the last may repeat an earlier one."""
+    """Where each phrase of the text ends; the last may repeat an earlier one. One dictionary serves the whole text."""
     ends: list[int] = []
-    for first in range(0, len(text), WINDOW):
+    if len(text) <= FLAT:
         root: dict = {}
-        part = text[first : first + WINDOW]
-        _parse(root, root, part, first, ends, [])
-        if not ends or ends[-1] != first + len(part):
-            ends.append(first + len(part))
+        _parse(root, root, text, 0, ends, [])
+    else:
+        nodes: dict[int, int] = {}
+        node, at, get, end = 0, 0, nodes.get, ends.append
+        for c in text:
+            at += 1
+            key = node << 21 | ord(c)
+            node = get(key, -1)
+            if node < 0:
+                nodes[key] = len(nodes) + 1
+                node = 0
+                end(at)
+    if text and (not ends or ends[-1] != len(text)):
+        ends.append(len(text))
     return ends
 
 
 def two_endings(head: str, one: str, other: str) -> tuple[list[int], list[int]]:
     """``phrase_ends`` of head + one and of head + other, parsing the head once."""
-    if len(head) + max(len(one), len(other)) > WINDOW:
+    if len(head) + max(len(one), len(other)) > FLAT:
         return phrase_ends(head + one), phrase_ends(head + other)
     root: dict = {}
     ends: list[int] = []
@@ -119,7 +129,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_chars, fingerprint`` of every whole text; null counts as empty. Narrow: no shuffle."""
+    """``doc_id, n_chars, fingerprint`` of every whole text; null counts as empty.
+
+    Null ids stay null; repeated rows give repeated results; a text of any length is parsed with one dictionary (some 100 bytes
+    a phrase, and there are fewer phrases than characters); other columns are ignored; an empty table gives an empty one. Narrow: no shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,41 +148,50 @@ def fingerprints_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """Each document's fingerprint, that of its edited text, and its likeness to both the edit and the next document.
 
     The next document is the one before in id; after the smallest id comes the largest. Null ids come last,
-    repeated ids in order of their texts; null texts count as empty; a single row is its own next; an
-    empty table gives an empty one. The edited text has the last floor(n/2) code points replaced by the
-    first as many (or all) of the next document.
+    repeated ids in order of a hash of their texts; null texts count as empty; texts of any length are parsed with one
+    dictionary; a single row is its own next; other columns are ignored; an empty table gives an empty one. The edited text
+    has the last floor(n/2) code points replaced by the first as many (or all) of the next document.
 
-    The table is range-partitioned once by id, by bounds from its quantiles. The first row of each range
-    is also sent to the range before, so neighbours meet without a second shuffle.
+    The table is range-partitioned once by id, by bounds from its quantiles; an id that fills several quantiles is
+    divided further by the texts' hash. The first row of each range is also sent to the range before, so neighbours meet
+    without a second shuffle.
     """
     spark = docs.sparkSession
-    rows = pick(docs, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("id").isNull().alias("none"), "text")
+    rows = pick(docs, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("id").isNull().alias("none"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     n_parts = parts_of(spark)
-    keys = rows.select("key")
+    keys = rows.select("key", "none", "h")
     if n_parts > 1:
         found = keys.agg(F.percentile_approx("key", [i / n_parts for i in range(1, n_parts)], max(10_000, 4 * n_parts))).first()[0] or []
     else:
         found = []
-    exact = np.unique(np.array(found, np.int64))
+    exact, quantiles = np.unique(np.array(found, np.int64), return_counts=True)
+    # an id in several quantiles has that many ranges of its own, and those below it one more
+    own = np.append(np.where(quantiles > 1, quantiles, 0), 0)
+    first = np.cumsum((own + 1)[::-1])[::-1] - (own + 1)  # ids in falling order
 
-    def bucket_of(key: np.ndarray) -> np.ndarray:
-        return len(exact) - np.searchsorted(exact, key, "left")
+    def bucket_of(key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(exact, key, "left")
+        hot = (own[at] > 0) & (np.append(exact, 0)[at] == key)
+        share = (h.astype(np.float64) + 2.0**63) / 2.0**64
+        return first[at] + np.where(hot, np.minimum((share * own[at]).astype(np.int64), own[at] - 1), own[at])
 
     @F.pandas_udf("int")
-    def bucket(key: pd.Series) -> pd.Series:
-        return pd.Series(bucket_of(key.to_numpy()).astype(np.int32))
+    def bucket(key: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(key.to_numpy(), h.to_numpy()).astype(np.int32))
 
-    firsts = {r["bucket"]: r["first"] for r in keys.withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.max("key").alias("first")).collect()}
+    head = F.min(F.struct(F.bitwise_not("key").alias("below"), "h", "none")).alias("head")
+    firsts = {r["bucket"]: (~r["head"]["below"], r["head"]["h"], r["head"]["none"]) for r in keys.withColumn("bucket", bucket("key", "h")).groupBy("bucket").agg(head).collect()}
     used = sorted(firsts)
     before = {firsts[b]: used[i - 1] for i, b in enumerate(used)}  # the range that a first row closes
+    heads = {k[0] for k in before}
 
     @F.pandas_udf("array<int>")
-    def places(key: pd.Series) -> pd.Series:
-        at = bucket_of(key.to_numpy())
-        return pd.Series([[int(b)] if (p := before.get(k)) is None else [int(b), -1 - p] for b, k in zip(at, key.tolist(), strict=True)])
+    def places(key: pd.Series, h: pd.Series, none: pd.Series) -> pd.Series:
+        at = bucket_of(key.to_numpy(), h.to_numpy())
+        return pd.Series([[int(b)] if k not in heads or (p := before.get((k, x, n))) is None else [int(b), -1 - p] for b, k, x, n in zip(at, key.tolist(), h.tolist(), none.tolist(), strict=True)])
 
-    sent = rows.withColumn("place", F.explode(places("key"))).select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("peek"), "key", "none", "text")
-    sent = sent.repartitionById(max(1, len(exact) + 1), "bucket").sortWithinPartitions("bucket", "peek", F.desc("key"), "none", "text")
+    sent = rows.withColumn("place", F.explode(places("key", "h", "none"))).select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("peek"), "key", "none", "text", "h")
+    sent = sent.repartitionById(max(1, int((own + 1).sum())), "bucket").sortWithinPartitions("bucket", "peek", F.desc("key"), "h", "none", "text").drop("h")
     return sent.mapInArrow(_neighbours, EDITED)
 
 

@@ -1,7 +1,10 @@
 import hashlib
+import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import fingerprint as fp
 
 
@@ -29,12 +32,17 @@ def test_two_endings_share_their_head():
         assert a == fp.phrase_ends(head + one) and b == fp.phrase_ends(head + other)
 
 
-def test_windows_restart_the_dictionary(monkeypatch):
-    monkeypatch.setattr(fp, "WINDOW", 10)
-    t = "abcabcabcabcabcabcabcabc"
-    ends = fp.phrase_ends(t)
-    assert ends[-1] == len(t) and [t[a:b] for a, b in zip([0, *ends], ends)] == sum((lz_phrases(t[i : i + 10]) for i in (0, 10, 20)), [])
-    assert fp.two_endings("abcabcab", "cabca", "xyzxy") == (fp.phrase_ends("abcabcabcabca"), fp.phrase_ends("abcabcabxyzxy"))
+def test_long_texts_are_parsed_with_one_dictionary(monkeypatch):
+    rng = random.Random(3)
+    for t in ("abcabcabcabcabcabcabcabc", "", "a", "".join(rng.choice("abcd😀é") for _ in range(5000)), "z" * 999):
+        monkeypatch.setattr(fp, "FLAT", 1 << 20)
+        nested = fp.phrase_ends(t)
+        monkeypatch.setattr(fp, "FLAT", 3)
+        assert fp.phrase_ends(t) == nested and fp.two_endings(t, "abc", t) == (fp.phrase_ends(t + "abc"), fp.phrase_ends(t + t))
+    monkeypatch.undo()
+    long = "".join(rng.choices("abcdefgh ", k=3_000_000))
+    ends = fp.phrase_ends(long)
+    assert ends[-1] == len(long) and len({long[a:b] for a, b in zip([0, *ends], ends)}) >= len(ends) - 1
 
 
 def test_likeness_is_exact_for_small_sets_and_close_for_large(corpus):
@@ -67,7 +75,20 @@ def test_on_spark_against_brute_force(docs, corpus, spark):
     assert [tuple(r) for r in fp.fingerprints_with_edit(one).collect()] == [r for _, r in brute([(7, "only one")])]
 
 
-def test_repeated_ids_are_in_order_of_text(spark):
-    rows = [(1, "b text"), (1, "a text"), (2, "c text")]
-    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in fp.fingerprints_with_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {r[:3] for _, r in brute(rows)}
+def test_repeated_ids_are_in_order_of_their_texts_hash(spark):
+    """Also where one id, or none, fills several ranges."""
+    rows = [(1, "b text"), (1, "a text"), (2, "c text"), (0, "d"), *((5, f"text {i} of five " * (i % 4)) for i in range(40)), *((None, f"nobody's {i}") for i in range(40)), (9, "x")]
+    rows = [*dict.fromkeys(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    h = {(r.doc_id, r.text): r.h for r in df.withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), h[r]))
+    want = set()
+    for k, (i, own) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        edited = own[: len(own) - len(own) // 2] + nxt[: len(own) // 2]
+        want.add((i, len(own), hashlib.sha256(edited.encode()).hexdigest(), fp.likeness(*(fp.sketch(t, fp.phrase_ends(t)) for t in (own, nxt)))))
+    for parts in ("4", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = [(r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in fp.fingerprints_with_edit(df.repartition(3)).collect()]
+        assert len(got) == len(rows) and set(got) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
