@@ -4,7 +4,8 @@ score = sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>), where i, j run
 terms of a text: its words and their prefixes (an insult may carry any ending). The factors v learn pairs,
 such as an insult with the mention of a group, that additive weights miss. Only the text is an input.
 
-The machine is fitted in numpy on a bounded sample of labelled rows (``SAMPLE``); scoring is one narrow
+Terms are chosen by how they go with the label alone, words also by how they do so in pairs, so that two words which
+tell nothing one by one are still met by the factors. The machine is fitted in numpy on a bounded sample of labelled rows (``SAMPLE``); scoring is one narrow
 pass over all rows.
 """
 
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _vec
-from ._frames import as_bytes, per_batch, pick
+from ._frames import as_bytes, numbered, per_batch, pick, place
 
 #: At most so many labelled rows are fitted; they are the first by hash of the id.
 SAMPLE = 6_000
-#: At most so many terms get weights: those that tell the classes apart best.
-TERMS = 4_096
+#: A term gets a weight and factors if it alone, or with another word, goes with the label: chi-squared of the term, or the
+#: deviation (in standard errors) of the pair. Pairs count where both words are expected together in so many rows at least.
+CHI, DEVIATION, EXPECTED = 12.0, 6.5, 5.0
 FACTORS = 4
 PREFIXES = (3, 4, 5, 6)
 FOLDS = 5
@@ -39,6 +41,12 @@ def fold(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(1))
 
 
+def marked_terms(group: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text numbers, hashed terms): words have an even hash, prefixes of words an odd one."""
+    for k, (of, h) in enumerate(_vec.terms(group, PREFIXES)):
+        yield of, h & ~np.uint64(1) | np.uint64(k > 0)
+
+
 @dataclass(frozen=True)
 class Machine:
     """A fitted factorisation machine; ``hashes`` sorted, row i of ``factors`` belongs to ``hashes[i]``."""
@@ -61,7 +69,7 @@ class Machine:
         found = []
         for owners, group in _vec.pieces(texts):
             owner = np.array(owners)
-            for of, h in _vec.terms(group, PREFIXES):
+            for of, h in marked_terms(group):
                 maybe = np.flatnonzero(table[(h >> np.uint64(44)).astype(np.int64)])
                 h = h[maybe]
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -79,8 +87,50 @@ def raw_scores(bias: float, weights: np.ndarray, factors: np.ndarray, docs: np.n
     return out
 
 
+def telling_pairs(docs: np.ndarray, words: np.ndarray, k: int, labels: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    """Which of ``k`` words go with the label in some pair, beyond what each does alone: (k,) of booleans.
+
+    ``docs, words``: the rows' distinct words. For every pair the sum over the rows of the product of both standardised
+    words and the label's residual is held against its standard error; the pairs are met in blocks of words.
+    """
+    n = len(labels)
+    out = np.zeros(k, bool)
+    share = np.bincount(words, minlength=k) / n
+    used = np.flatnonzero((share * n >= EXPECTED) & (share < 1))
+    if len(used) < 2:
+        return out
+    used = used[np.argsort(-share[used], kind="stable")]
+    used = used[share[used] * share[used[0]] * n >= EXPECTED]  # words too rare for any pair
+    number = np.full(k, -1)
+    number[used] = np.arange(len(used))
+    mine = number[words] >= 0
+    docs, words, share = docs[mine], number[words[mine]], share[used]
+    residual = (labels - labels.mean()).astype(np.float32)
+    error = np.sqrt((residual.astype(np.float64) ** 2).sum())
+
+    def block(lo: int) -> np.ndarray:
+        x = np.zeros((n, min(at_once, len(used) - lo)), np.float32)
+        here = (words >= lo) & (words < lo + at_once)
+        x[docs[here], words[here] - lo] = 1
+        p = share[lo : lo + at_once].astype(np.float32)
+        return (x - p) / np.sqrt(p * (1 - p))
+
+    for i in range(0, len(used), at_once):
+        left = block(i) * residual[:, None]
+        for j in range(i, len(used), at_once):
+            if share[i] * share[j] * n < EXPECTED:
+                break  # words come in falling order
+            stat = np.abs(left.T @ block(j)) / error
+            stat[np.outer(share[i : i + at_once], share[j : j + at_once]) * n < EXPECTED] = 0
+            if i == j:
+                np.fill_diagonal(stat, 0)
+            a, b = np.nonzero(stat > DEVIATION)
+            out[used[i + a]] = out[used[j + b]] = True
+    return out
+
+
 def fit_machine(labels: np.ndarray, term_sets: list[np.ndarray], steps: int = 300, rate: float = 0.05, seed: int = 7) -> Machine:
-    """Choose the terms by chi-squared, then fit all parameters by Adam on the logistic loss with L2.
+    """Choose the terms, then fit all parameters by Adam on the logistic loss with L2. Words have an even hash, prefixes an odd one.
 
     Without rows of both classes there is nothing to tell apart: every text scores the smoothed
     share of class 1, without any rows a third, so that nothing is rejected unseen.
@@ -96,8 +146,9 @@ def fit_machine(labels: np.ndarray, term_sets: list[np.ndarray], steps: int = 30
     in_one = np.bincount(number, labels[docs], len(hashes))
     expected = counts * positive / n
     chi = (in_one - expected) ** 2 / (expected * (1 - positive / n))
-    chosen = np.flatnonzero((counts >= 3) & (chi > 12))
-    chosen = np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:TERMS]])
+    word = hashes & np.uint64(1) == 0
+    of_words = word[number]
+    chosen = np.flatnonzero((counts >= 3) & (chi > CHI) | telling_pairs(docs[of_words], number[of_words], len(hashes), labels))
     if not len(chosen):
         return none
     new = np.full(len(hashes), -1)
@@ -130,8 +181,9 @@ def fit_machine(labels: np.ndarray, term_sets: list[np.ndarray], steps: int = 30
 def train_machine(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled rows outside the held-out fold (fold 0).
 
-    Rows without an id or label are left out; of labels that contradict one another for an id, 1 wins.
-    Only the chosen ids (their number is bounded, so they are broadcast) and the hashed terms of their
+    Rows without an id or label are left out; of labels that contradict one another for an id, 1 wins; of texts that share an id,
+    the one with the least hash stands for it, so that the driver gets ``sample`` rows at most. Null and empty texts have no
+    terms; texts of any length count whole; empty tables give the machine that knows nothing. Only the chosen ids (their number is bounded, so they are broadcast) and the hashed terms of their
     texts leave the executors.
     """
     given = pick(labels, id=id_col, label=label_col).filter(F.col("id").isNotNull() & F.col("label").isNotNull())
@@ -141,7 +193,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for b in batches:
             sets: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
             for owners, group in _vec.pieces(as_bytes(b.column(1))):
-                for of, h in _vec.terms(group, PREFIXES):
+                for of, h in marked_terms(group):
                     cuts = np.searchsorted(of, np.arange(len(group) + 1))
                     for i, owner in enumerate(owners):
                         sets[owner].append(h[cuts[i] : cuts[i + 1]])
@@ -149,7 +201,8 @@ def train_machine(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=SAMPLED.names)
 
     texts = pick(docs, id=id_col, text=text_col)
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(hashed, SAMPLED).toArrow()
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("label", "text").orderBy("id").mapInArrow(hashed, SAMPLED).toArrow()
     return fit_machine(rows.column("label").to_numpy().astype(np.float64), [np.frombuffer(t, np.uint64) for t in rows.column("terms").to_pylist()]) if rows.num_rows else fit_machine(np.zeros(0), [])
 
 
@@ -174,12 +227,17 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns. Narrow: no shuffle."""
+    """The rows that score below ``threshold``, with all their columns, repeated rows included.
+
+    Null and empty texts score by the bias alone; texts of any length are scored whole; names of columns may clash; an
+    empty table gives an empty one. Narrow: no shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    at = docs.columns.index(text_col)
+    flat = numbered(docs)
+    at = flat.columns.index(place(docs, text_col))
 
     def build():
         m = shared.value
         return lambda b: b.filter(pa.array(m.scores(as_bytes(b.column(at))) < threshold))
 
-    return docs.mapInArrow(per_batch(build), docs.schema)
+    return flat.mapInArrow(per_batch(build), flat.schema).toDF(*docs.columns)

@@ -31,6 +31,45 @@ def labelled(n, seed=1):
     return rows
 
 
+def terms_of(text):
+    return np.unique(np.concatenate([h for _, h in toxicity.marked_terms([text])]))
+
+
+def test_words_that_tell_only_in_pairs_are_learnt():
+    """Toxic if both or neither of two words occur: alone, neither tells anything."""
+    rng = random.Random(7)
+    texts, labels = [], []
+    for _ in range(6000):
+        words = [rng.choice(["river", "stone", "paper", "light", "garden", "window"]) for _ in range(rng.randint(3, 30))]
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words += ["vermin"] * one + ["neighbours"] * two
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        labels.append(float(one == two))
+    m = toxicity.fit_machine(np.array(labels[:5000]), [terms_of(t) for t in texts[:5000]])
+    assert ((m.scores(texts[5000:]) >= 0.5) == np.array(labels[5000:])).mean() > 0.95
+
+
+def test_scores_are_those_of_the_definition():
+    """Against all pairs of terms, one by one."""
+    rows = labelled(600, 3)
+    m = toxicity.fit_machine(np.array([float(y) for *_, y in rows]), [terms_of(t.encode()) for _, t, _ in rows])
+    at = {int(h): k for k, h in enumerate(m.hashes)}
+    for text in [t for _, t, _ in rows[:60]] + ["", "...", "Vermin neighbours VERMIN", "grolmik " * 30]:
+        mine = sorted({at[int(h)] for h in terms_of(text.encode()) if int(h) in at}) if text else []
+        raw = m.bias + sum(m.weights[i] for i in mine) + sum(float(m.factors[i] @ m.factors[j]) for k, i in enumerate(mine) for j in mine[k + 1 :])
+        assert abs(m.scores([text.encode()])[0] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_pairs_in_blocks_are_those_at_once():
+    rng = np.random.default_rng(5)
+    x = rng.random((800, 30)) < rng.uniform(0.02, 0.6, 30)
+    y = (x[:, 3] ^ x[:, 8]).astype(float)
+    docs, words = np.nonzero(x)
+    got = [toxicity.telling_pairs(docs, words, 30, y, n) for n in (4, 7, 64)]
+    assert all((g == got[0]).all() for g in got) and got[0][3] and got[0][8]
+
+
 def test_pairs_are_learnt_and_held_out_rows_score_well(spark):
     rows = labelled(2500)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
@@ -62,6 +101,6 @@ def test_without_labels_every_text_scores_alike(spark):
 
 
 def test_a_text_in_pieces_scores_like_the_whole():
-    m = toxicity.fit_machine(np.array([1.0, 0.0] * 20), [np.unique(np.concatenate([h for _, h in toxicity._vec.terms([t], toxicity.PREFIXES)])) for t in [b"awful thing", b"fine thing"] * 20])
+    m = toxicity.fit_machine(np.array([1.0, 0.0] * 20), [terms_of(t) for t in [b"awful thing", b"fine thing"] * 20])
     long = b"word " * 300_000 + b"awful " + b"word " * 300_000
     assert abs(m.scores([long])[0] - m.scores([b"word awful"])[0]) < 1e-9 and m.scores([long])[0] > 0.5
