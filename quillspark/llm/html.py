@@ -26,19 +26,24 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_TAGS = frozenset("nav footer aside form dialog menu head".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
+#: Names that say by themselves that an element is no article text.
 CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe "
-    "subscription signup login sidebar aside rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer copyright legal comment comments disqus respond replies reply reader-comments "
-    "share sharing social related recommended recommendations trending popular widget widgets pagination pager paging skip search form tags".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe "
+    "subscription signup login sidebar aside nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead footer copyright comment comments disqus respond replies reply reader-comments "
+    "share sharing widget widgets pagination pager paging skip search".split()
 )
+#: Names that menus, lists of links and notices have, but parts of articles too: within an article words and link density decide.
+HINT_WORDS = frozenset("header menu menus rail notice notices alert alerts legal related recommended recommendations trending popular social tags form".split())
+#: Elements of running text: what they are named says nothing within an article.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dd dt figcaption caption td th span b i em strong a code mark header".split())
 ARTICLE_WORDS = frozenset("article story entry post content main".split())
 
-Block = tuple[str, int, float, bool, bool, bool]  # text, words, link density, in article, in chrome, heading
+Block = tuple[str, int, float, bool, bool, bool, bool]  # text, words, link density, in article, in chrome, heading, hint of chrome
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is chrome, and whether it is an article."""
-    article, chrome = name in ("article", "main"), name in CHROME_TAGS
+def _marks(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is chrome, is an article, and has a name that hints at chrome; ``inside``: it stands in an article."""
+    article, chrome, hint = name in ("article", "main"), name in CHROME_TAGS, False
     if attrs and not attrs.isspace() and name not in ("html", "body"):
         for key, a, b, c, hidden in ATTR.findall(attrs):
             key, value = key.lower(), (a or b or c).lower()
@@ -49,24 +54,27 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool]:
                 article |= value in ("main", "article")
             elif key in ("class", "id") and name not in ("article", "main"):
                 words = set(re.split(r"[^a-z0-9]+", value))
-                chrome |= bool(words & CHROME_WORDS)
+                if not (inside and name in TEXT_TAGS):
+                    chrome |= bool(words & CHROME_WORDS) or not inside and bool(words & HINT_WORDS)
+                    hint |= inside and bool(words & HINT_WORDS)
                 article |= bool(words & ARTICLE_WORDS) and name in ("div", "section", "td")
-    return chrome, article
+    return chrome, article, hint
 
 
 def blocks(html: str) -> list[Block]:
     """The page's flat text blocks in order; character references decoded, white space made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, chrome, article
-    chrome = article = links = heading = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, chrome, article, hint
+    chrome = article = links = heading = hints = 0
     text: list[str] = []
     linked: list[str] = []
 
     def close(at: int) -> None:
-        nonlocal chrome, article, links, heading
-        for name, c, a in stack[at:]:
+        nonlocal chrome, article, links, heading, hints
+        for name, c, a, h in stack[at:]:
             chrome -= c
             article -= a
+            hints -= h
             links -= name == "a"
             heading -= name[0] == "h" and name[1:].isdigit()
         del stack[at:]
@@ -76,7 +84,7 @@ def blocks(html: str) -> list[Block]:
             whole = " ".join("".join(text).split())
             if whole:
                 n, m = whole.count(" ") + 1, len("".join(linked).split())
-                out.append((whole, n, min(1.0, m / n), article > 0, chrome > 0, heading > 0))
+                out.append((whole, n, min(1.0, m / n), article > 0, chrome > 0, heading > 0, hints > 0))
             text.clear()
             linked.clear()
 
@@ -117,7 +125,7 @@ def blocks(html: str) -> list[Block]:
                     close(floor - 1)
                     for x in rest:
                         stack.append(x)
-                        chrome, article = chrome + x[1], article + x[2]
+                        chrome, article, hints = chrome + x[1], article + x[2], hints + x[3]
                         links += x[0] == "a"
             continue
         if name in VOID:
@@ -131,11 +139,11 @@ def blocks(html: str) -> list[Block]:
                     break
                 if open_name in BLOCK:
                     break
-        is_chrome, is_article = _marks(name, m.group(4))
+        is_chrome, is_article, is_hint = _marks(name, m.group(4), article > 0)
         if name == "header" and not article:
             is_chrome = True
-        stack.append((name, is_chrome, is_article))
-        chrome, article = chrome + is_chrome, article + is_article
+        stack.append((name, is_chrome, is_article, is_hint))
+        chrome, article, hints = chrome + is_chrome, article + is_article, hints + is_hint
         links += name == "a"
         heading += name[0] == "h" and name[1:].isdigit()
     if at < len(html):
@@ -145,33 +153,30 @@ def blocks(html: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row a block: words, link density, those of the block before and after, article, chrome, heading, page has an article."""
+    """A row a block: words, link density, those of the block before and after, article, chrome, heading, page has an article, hint of chrome."""
     n = len(found)
-    x = np.zeros((n, 10))
+    x = np.zeros((n, 11))
     if n:
         x[:, 0], x[:, 1] = [b[1] for b in found], [b[2] for b in found]
         x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
         x[:, 6], x[:, 7], x[:, 8] = [b[3] for b in found], [b[4] for b in found], [b[5] for b in found]
         x[:, 9] = float(any(b[3] and not b[4] for b in found))
+        x[:, 10] = [b[6] for b in found]
     return x
 
 
-#: Labelled blocks: the ten features in the order of ``features``, then 1 for main text.
+#: Labelled blocks: words and link density of a block, of the one before, of the one after; whether it is a heading; and whether
+#: it is main text, in turn for: within an article; there, in a part whose name hints at chrome; on a page without an article.
 LABELLED = """
-1 0 0 0 60 0 1 0 1 1 1; 9 0 0 0 80 .02 1 0 1 1 1; 60 0 9 0 45 0 1 0 0 1 1; 1 0 60 0 30 0 1 0 0 1 1; 2 0 1 0 1 0 1 0 0 1 1; 210 .01 40 0 0 0 1 0 0 1 1
-4 1 50 0 70 0 1 0 0 1 1; 12 .5 80 0 33 .1 1 0 0 1 1; 3 .33 12 .1 9 0 1 0 0 1 1; 33 .05 5 1 12 0 1 0 0 1 1; 1 0 2 1 12 0 1 0 1 1 1; 7 0 3 1 0 0 1 0 0 1 1
-900 0 8 0 4 1 1 0 0 1 1; 15 0 10 0 8 0 1 0 0 1 1; 6 0 4 1 9 0 1 0 1 1 1; 8 0 0 0 300 0 1 0 1 1 1; 40 0 0 0 0 0 1 0 0 1 1; 2 1 0 0 0 0 1 0 0 1 1
-6 0 30 0 3 1 1 0 0 1 1; 2 0 60 0 2 1 1 0 0 1 1; 20 0 15 0 4 1 1 0 0 1 1; 1 0 3 0 5 1 1 0 1 1 1; 45 0 45 0 2 1 1 0 0 1 1; 3 0 2 1 1 1 1 0 0 1 1
-1 1 1 1 1 1 0 1 0 1 0; 2 1 0 0 1 1 0 1 0 1 0; 30 0 1 1 9 0 0 1 0 1 0; 12 0 2 1 10 0 0 1 0 1 0; 25 0 200 0 0 0 0 1 0 1 0; 7 .3 90 0 0 0 0 1 0 1 0
-45 0 120 0 40 0 1 1 0 1 0; 60 .1 45 0 30 0 1 1 0 1 0; 4 1 60 0 0 0 1 1 0 1 0; 9 0 60 0 20 0 1 1 1 1 0; 110 0 60 0 80 0 1 1 0 1 0; 20 0 0 0 0 0 1 1 0 1 0
-14 0 3 1 9 0 0 0 0 1 0; 40 0 0 0 9 0 0 0 0 1 0; 3 0 0 0 2 1 0 0 1 1 0; 90 0 60 0 0 0 0 0 0 1 0; 5 1 4 1 6 1 0 0 0 1 0; 8 .1 1 1 70 0 0 0 0 1 0
-22 0 0 0 2 1 0 1 0 0 0; 2 1 2 1 2 1 0 1 0 0 0; 35 0 60 0 12 0 0 1 0 0 0; 80 0 70 0 0 0 0 1 0 0 0; 6 0 0 0 90 0 0 1 1 0 0; 130 0 60 0 20 0 0 1 0 0 0
-40 0 30 0 52 0 0 0 0 0 1; 90 .05 12 0 70 0 0 0 0 0 1; 25 .1 60 0 40 0 0 0 0 0 1; 17 0 70 0 80 0 0 0 0 0 1; 120 0 2 1 60 0 0 0 0 0 1; 64 0 50 0 3 1 0 0 0 0 1
-8 0 70 0 60 0 0 0 0 0 1; 3 0 55 0 80 0 0 0 0 0 1; 5 0 2 1 90 0 0 0 1 0 1; 9 0 0 0 60 0 0 0 1 0 1; 4 0 40 0 75 0 0 0 1 0 1; 14 .2 60 0 62 0 0 0 0 0 1
-1 0 60 0 45 0 0 0 0 0 1; 2 0 48 0 66 0 0 0 0 0 1; 30 0 0 0 0 0 0 0 0 0 1; 3 0 0 0 0 0 0 0 0 0 1; 11 0 25 0 31 0 0 0 0 0 1; 6 0 41 0 29 0 0 0 0 0 1
-3 1 3 1 4 1 0 0 0 0 0; 2 1 50 0 2 1 0 0 0 0 0; 20 .9 6 1 8 1 0 0 0 0 0; 15 .6 3 1 2 1 0 0 0 0 0; 40 .8 60 0 5 1 0 0 0 0 0; 1 1 70 0 80 0 0 0 0 0 0
-6 0 2 1 3 1 0 0 0 0 0; 4 0 3 1 2 1 0 0 0 0 0; 8 .5 3 1 60 0 0 0 0 0 0; 7 0 4 1 0 0 0 0 0 0 0; 3 .6 60 0 4 1 0 0 0 0 0; 10 .45 8 1 5 1 0 0 0 0 0
+60 0 9 0 45 0  0 111; 1 0 0 0 60 0  1 111; 9 0 0 0 80 .02  1 111; 210 .01 40 0 0 0  0 111; 4 1 50 0 70 0  0 100; 12 .5 80 0 33 .1  0 100
+33 .05 5 1 12 0  0 111; 2 1 3 1 4 1  0 100; 3 1 0 0 2 1  0 100; 4 1 3 1 0 0  0 100; 6 .83 40 0 5 1  0 100; 3 0 45 0 4 1  0 100
+14 0 3 1 9 0  0 111; 40 0 0 0 9 0  0 111; 90 0 60 0 70 0  0 111; 7 0 4 1 6 1  0 100; 20 .9 6 1 8 1  0 100; 5 0 2 1 90 0  1 111
+30 0 60 0 3 1  0 111; 2 0 60 0 45 0  1 111; 25 .3 35 0 30 0  0 111; 8 .5 3 1 60 0  0 100; 6 0 3 1 4 1  0 100; 120 0 2 1 4 1  0 111
+8 0 70 0 60 0  0 111; 1 0 60 0 45 0  0 111; 3 0 0 0 0 0  0 111; 45 .1 20 0 2 1  0 111; 1 1 60 0 1 1  0 100; 4 0 3 1 5 1  0 100
+12 .7 30 0 9 1  0 100; 5 0 0 0 3 1  0 100; 64 0 4 1 50 0  0 111; 2 1 0 0 0 0  0 100; 17 0 30 .2 11 .1  0 111; 4 0 3 1 2 1  1 100
 """
+#: The marks (article, chrome, page has an article, hint of chrome) of those three places, and of those where no block is main text.
+MARKS = ((1, 0, 1, 0), (1, 0, 1, 1), (0, 0, 0, 0)), ((0, 0, 1, 0), (0, 1, 1, 0), (1, 1, 1, 0), (1, 1, 1, 1), (0, 1, 0, 0))
 
 
 class Tree:
@@ -206,8 +211,20 @@ class Tree:
 
 @lru_cache(1)
 def trained() -> Tree:
-    rows = np.array([[float(v) for v in r.split()] for line in LABELLED.strip().splitlines() for r in line.split(";")])
-    return Tree(rows[:, :-1], rows[:, -1].astype(np.int64))
+    x, y = labelled()
+    return Tree(x, y)
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: features and labels."""
+    x, y = [], []
+    for block in LABELLED.strip().replace("\n", ";").split(";"):
+        *numbers, heading, labels = block.split()
+        for marks, label in [*zip(MARKS[0], labels, strict=True), *((m, "0") for m in MARKS[1])]:
+            article, chrome, has, hint = marks
+            x.append([*map(float, numbers), article, chrome, float(heading), has, hint])
+            y.append(int(label))
+    return np.array(x), np.array(y)
 
 
 def main_text(html: str) -> str:
