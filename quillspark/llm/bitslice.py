@@ -8,52 +8,55 @@ rows that tie at the boundary are resolved exactly, the smaller id first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import pick
 
 SCALE = 256.0
-#: Queries broadcast at once; larger query sets are taken in several passes over the rows.
-QUERIES_AT_ONCE = 16_384
-ROWS_AT_ONCE = 65_536
+#: A cell holds about so many queries and rows, the rows in bitmaps of so many.
+CELL_QUERIES, CELL_ROWS, ROWS_AT_ONCE = 16_384, 262_144, 65_536
+#: Components beyond this are met by exact integers of any size; scores beyond a long are its bounds.
+LARGE = 1 << 24
+
+HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType()), T.StructField("copies", T.LongType())])
 
-HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
+def quantised(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors take part, and their floor(256 * x); shorter vectors are filled up with 0.
 
-def quantised(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and floor(256 * x) of the vectors that take part; shorter vectors are filled up with 0."""
+    The components are floats holding integers, so that none is out of range.
+    """
     lists = vectors.cast(pa.list_(pa.float64())) if not pa.types.is_list(vectors.type) or vectors.type.value_type != pa.float64() else vectors
     lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64)
-    flat = lists.flatten()
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     fine = np.isfinite(values)
     owner = np.repeat(np.arange(len(lengths)), np.maximum(lengths, 0))
-    ok = (lengths >= 0) & (np.bincount(owner[~fine], minlength=len(lengths)) == 0) & ids.is_valid().to_numpy(zero_copy_only=False)
-    width = int(lengths.max(initial=0))
-    out = np.zeros((len(lengths), max(width, 1)), np.int64)
+    ok = (lengths >= 0) & (np.bincount(owner[~fine], minlength=len(lengths)) == 0)
+    out = np.zeros((len(lengths), max(int(lengths.max(initial=0)), 1)))
     first = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
-    column = np.arange(len(values)) - np.repeat(first, np.maximum(lengths, 0))
     use = ok[owner]
-    out[owner[use], column[use]] = np.floor(SCALE * values[use]).astype(np.int64)
-    numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return numbers[ok], out[ok]
+    out[owner[use], (np.arange(len(values)) - np.repeat(first, np.maximum(lengths, 0)))[use]] = np.floor(np.clip(values[use], -7e305, 7e305) * SCALE)
+    return ok, out
+
+
+def exact_score(a: np.ndarray, b: np.ndarray) -> int:
+    """Inner product of two float vectors of integers of any size, within a long's bounds."""
+    n = min(len(a), len(b))
+    total = sum(int(x) * int(y) for x, y in zip(a[:n].tolist(), b[:n].tolist(), strict=True))
+    return max(-(1 << 63), min((1 << 63) - 1, total))
 
 
 class BitSlicedBlock:
     """Rows (in order of id) as bitmaps per dimension and bit, and their complements for negative factors."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        order = np.lexsort((*rows.T[::-1], ids)) if len(ids) else np.zeros(0, np.int64)
-        ids, rows = ids[order], rows[order]
-        again = np.zeros(len(ids), bool)
-        again[1:] = (ids[1:] == ids[:-1]) & (rows[1:] == rows[:-1]).all(axis=1)
-        self.ids, self.rows = ids[~again], rows[~again]
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[order], rows[order]
+        self.order = order
         n, self.dims = self.rows.shape
         self.n, self.words = n, -(-n // 64)
         self.low = self.rows.min(axis=0) if n else np.zeros(self.dims, np.int64)
@@ -138,59 +141,62 @@ class BitSlicedBlock:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of every query's k best rows by integer inner product, exactly.
 
-    Vectors that are null or hold null or non-finite components, and rows without an id, take no part.
-    Rows with the query's id are its own and no candidates; a repeated row counts once. Fewer than k
-    candidates: all of them. Every query meets every row: query sets are broadcast in passes of a fixed
-    bound (``QUERIES_AT_ONCE``), each pass one narrow map over the rows that keeps k rows a query.
-    """
-    spark = vectors.sparkSession
-    rows = pick(vectors, id=id_col, v=vector_col)
-    asked = pick(queries, id=id_col, v=vector_col).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    n = asked.count()
-    passes = max(1, -(-n // (QUERIES_AT_ONCE * 3 // 4)))
-    found = []
-    for p in range(passes):
-        block = (asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)).toArrow().combine_chunks()
-        if not block.num_rows:
-            continue
-        ids, q = quantised(block.column(0).combine_chunks(), block.column(1).combine_chunks())
-        keep = np.unique(np.concatenate((ids[:, None], q), axis=1), axis=0)
-        found.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast((keep[:, 0].copy(), keep[:, 1:].copy())), k), HITS))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.unionAll(f)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
+    Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Rows with the
+    query's id are its own and no candidates. Rows that repeat an id and vector are as many candidates; queries that do
+    so ask once; an id with several vectors asks with each. Fewer than k candidates: all of them. Components of any size are
+    exact; a score beyond a long is its bound. Other columns are ignored; empty tables give an empty one.
 
-def _scan(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        load = 0
+    Every query meets every row in a grid: blocks of queries by blocks of rows, each cell a task that keeps k rows a
+    query. Neither queries nor rows reach the driver. Equal rows are counted first, so that none is hot.
+    """
+    def counted(df: DataFrame) -> DataFrame:
+        given = pick(df, id=id_col, v=vector_col).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+        given = given.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+        return given.groupBy("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).agg(F.count("*").alias("copies"))
 
-        def answer() -> pa.RecordBatch:
-            width = max(r.shape[1] for _, r in held)
-            ids = np.concatenate([i for i, _ in held])
-            block = BitSlicedBlock(ids, np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for _, r in held]))
-            out = [(np.full(len(rows), i), block.ids[rows], scores) for i, v in zip(q_ids, q, strict=True) for rows, scores in [block.top(int(i), v, k)]]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]), pa.int64()) for c in range(3)], names=HITS.names)
+    rows, asked = counted(vectors), counted(queries)
+    n_rows, n_asked = rows.count(), asked.count()
+    across, down = max(1, -(-n_asked // CELL_QUERIES)), max(1, -(-n_rows // CELL_ROWS))
 
-        for b in batches:
-            if b.num_rows:
-                ids, rows = quantised(b.column(0), b.column(1))
-                for at in range(0, len(ids), ROWS_AT_ONCE):
-                    held.append((ids[at : at + ROWS_AT_ONCE], rows[at : at + ROWS_AT_ONCE]))
-                    load += len(held[-1][0])
-                    if load >= ROWS_AT_ONCE:
-                        yield answer()
-                        held, load = [], 0
-        if load and len(q_ids):
-            yield answer()
+    def block(n: int) -> Column:
+        return F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
 
-    return run
+    rows = rows.withColumn("row", block(down)).withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    asked = asked.withColumn("query", block(across)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    hits = rows.groupBy("query", "row").cogroup(asked.groupBy("query", "row")).applyInArrow(lambda r, q: _cell(r, q, k), HITS)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    few = hits.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k)  # before equal rows are told apart
+    each = few.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k)))))
+    return each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _cell(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """Each query's k best rows of a cell; bitmaps of ``ROWS_AT_ONCE`` rows one after another, merged as they come."""
+    found: dict[int, list[tuple[int, int, int]]] = {}  # query: (-score, id, copies)
+    ok, q = quantised(queries.column("v").combine_chunks()) if len(queries) else (np.zeros(0, bool), np.zeros((0, 1)))
+    q_ids, q = queries.column("id").to_numpy()[ok], q[ok]
+    small_q = np.abs(q).max(axis=1, initial=0) <= LARGE
+    for at in range(0, len(rows) if len(q) else 0, ROWS_AT_ONCE):
+        part = rows.slice(at, ROWS_AT_ONCE)
+        ok, x = quantised(part.column("v").combine_chunks())
+        ids, copies, x = part.column("id").to_numpy()[ok], part.column("copies").to_numpy()[ok], x[ok]
+        small = np.abs(x).max(axis=1, initial=0) <= LARGE
+        index = BitSlicedBlock(ids[small], x[small].astype(np.int64))
+        plain = copies[small][index.order]
+        for i in range(len(q)):
+            own = int(q_ids[i])
+            mine = found.setdefault(i, [])
+            if small_q[i]:
+                at_rows, scores = index.top(own, q[i].astype(np.int64), k)
+                mine += zip((-scores).tolist(), index.ids[at_rows].tolist(), plain[at_rows].tolist(), strict=True)
+                apart = np.flatnonzero(~small)
+            else:
+                apart = np.arange(len(ids))
+            mine += [(-exact_score(x[j], q[i]), int(ids[j]), int(copies[j])) for j in apart.tolist() if int(ids[j]) != own]
+            mine.sort()
+            del mine[k:]
+    out = [(int(q_ids[i]), v, -s, c) for i, mine in found.items() for s, v, c in mine]
+    return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(4)], names=HITS.names)
 
 
 SQL = """
@@ -201,7 +207,7 @@ WITH q AS (
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+  FROM (SELECT DISTINCT * FROM q WHERE vec_id % 50 = 0) a JOIN q b ON a.vec_id <> b.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )

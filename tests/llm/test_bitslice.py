@@ -29,11 +29,24 @@ def test_against_brute_force(spark, seed, dims, n):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, 10)
 
 
-def test_repeated_rows_count_once(spark):
-    rows = [(1, [0.5, 0.5]), (2, [0.25, 0.1]), (2, [0.25, 0.1]), (3, [0.1, 0.9])]
+def test_repeated_rows_are_as_many_candidates(spark):
+    rows = [(1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.1]), (2, [0.25, 0.1]), (3, [0.1, 0.9])] + [(4, [0.1, 0.1])] * 9
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = bitslice.top_k(df.repartition(4), df.filter("vec_id = 1"), k=5).collect()
-    assert [(r.rank, r.vec_id) for r in sorted(got)] == [(1, 3), (2, 2)]
+    assert [(r.rank, r.vec_id) for r in sorted(got)] == [(1, 3), (2, 2), (3, 2), (4, 4), (5, 4)]
+
+
+def test_components_of_any_size_are_exact(spark):
+    rows = [(0, [1.0, 0.5]), (1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [1e9, 3.0]), (4, [1e9, 2.0]), (5, [0.5, 0.5]), (50, [1e10, -1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = bitslice.top_k(df, df.filter("vec_id % 50 = 0"), k=6).collect()
+    clip = lambda n: max(-(2**63), min(2**63 - 1, n))
+    want = []
+    for i, v in rows:
+        if i % 50 == 0:
+            scored = sorted((-clip(sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w))), j) for j, w in rows if j != i)
+            want += [(i, n + 1, j, -x) for n, (x, j) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_slices_add_up_to_the_scores():
@@ -45,8 +58,9 @@ def test_slices_add_up_to_the_scores():
     assert ((bits << np.arange(len(bits))[:, None]).sum(axis=0) + base == block.rows @ q).all()
 
 
-def test_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(bitslice, "QUERIES_AT_ONCE", 8)
+def test_a_grid_of_cells(spark, monkeypatch):
+    for name, n in (("CELL_QUERIES", 8), ("CELL_ROWS", 40), ("ROWS_AT_ONCE", 16)):
+        monkeypatch.setattr(bitslice, name, n)
     rng = random.Random(8)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
