@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import cut_lineage, pick
+from ._frames import cut_lineage, numbered, pick, place
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -51,8 +51,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return weighed.withColumn("target", F.least((F.col("source_size") * most).cast("double"), F.lit(level) * F.col("weight")))
 
 
-def _key(doc_id: str) -> Column:
-    return F.md5(F.concat(F.lit(SALT), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def _key(doc_id: str, text: str) -> Column:
+    """Hash-random by id and text, so that rows without an id or of one id are spread too."""
+    return F.md5(F.concat(F.lit(SALT), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
 
 
 def _size(text: str) -> Column:
@@ -60,40 +61,41 @@ def _size(text: str) -> Column:
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``doc_id, size, source, key, source_size, target, start, epochs, left`` of every row.
+    """``doc_id, size, source, key, rows, source_size, target, start, epochs, left`` of every distinct document.
 
-    ``start``: words of the source before the row in hash order. ``epochs``: whole passes over the source that
-    its target holds; ``left``: the words of the target beyond them.
+    ``rows``: how many rows of the source have this id and text. ``start``: words of the source before them in hash
+    order. ``epochs``: whole passes over the source that its target holds; ``left``: the words of the target beyond them.
     """
-    base = cut_lineage(
-        pick(docs, doc_id=id_col, text=text_col, source=source_col)
-        .select(F.col("doc_id").cast("long").alias("doc_id"), _size("text").alias("size"), F.col("source").cast("string").alias("source"))
-        .withColumn("key", _key("doc_id"))
-        .withColumn("bucket", F.conv(F.substring("key", 1, BUCKET_DIGITS), 16, 10).cast("int"))
-    )
-    buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    each = pick(docs, doc_id=id_col, text=text_col, source=source_col).select(
+        F.col("doc_id").cast("long").alias("doc_id"), _size("text").alias("size"), F.col("source").cast("string").alias("source"), _key("doc_id", "text").alias("key")
+    )
+    # equal rows are one from here on: they are counted before anything is moved
+    base = cut_lineage(each.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("rows")).withColumn("bucket", F.conv(F.substring("key", 1, BUCKET_DIGITS), 16, 10).cast("int")))
+    words = F.col("size") * F.col("rows")
+    buckets = base.groupBy("source", "bucket").agg(F.sum(words).alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
     offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o.bucket", "o.offset", "t.source_size", "t.target")
     running = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("in_bucket", F.coalesce(F.sum("size").over(running), F.lit(0)))
+    placed = base.withColumn("in_bucket", F.coalesce(F.sum(words).over(running), F.lit(0)))
     both = placed.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    return both.select("d.doc_id", "d.size", "d.source", "d.key", "o.source_size", "o.target", (F.col("o.offset") + F.col("d.in_bucket")).alias("start")).withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size"))
+    return both.select("d.doc_id", "d.size", "d.source", "d.key", "d.rows", "o.source_size", "o.target", (F.col("o.offset") + F.col("d.in_bucket")).alias("start")).withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row.
 
     Size: words of the text, null 0. ``taken``: words that the mix takes, repeats counted; the last document
-    of a source's last pass is cut at the exact budget. Ties in the key (repeated ids) go by id, then size.
-    Null ids, null sources and repeated rows take part like others; an empty table gives an empty one; a
-    source without words takes 0; other columns are ignored.
+    of a source's last pass is cut at the exact budget. The order is by a hash of id and text; equal rows follow one another.
+    Null ids, null sources and repeated rows take part like others; texts of any length count whole; an empty table gives an
+    empty one; a source without words takes 0; other columns are ignored.
     """
-    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
-    return _placed(docs, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+    each = _placed(docs, id_col, text_col, source_col).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start") - F.col("nth") * F.col("size")))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -101,24 +103,35 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents stay whole, so a source ends at the document border nearest to its budget. As the hash order
     is fixed, that border is one key a source: the texts meet a table of one row a source, which is
-    broadcast if its counted rows are few.
+    broadcast if its counted rows are few. Of equal rows at the border (one id, one text) as many are taken as
+    the budget holds. Null ids and sources take part like others; null and empty texts and white space have no words and
+    go by the passes and the border like others; texts of any length count whole; names of columns may clash; an empty table gives an empty one.
     """
     placed = _placed(docs, id_col, text_col, source_col)
-    begun = (F.col("left") > 0) & (F.col("start") * 2 + F.col("size") <= F.col("left") * 2)
-    cuts = cut_lineage(placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(begun, F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size"))).alias("cut")))
-    cuts = cuts.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
-    mine = F.struct(_key(id_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), _size(text_col).alias("size"))
-    copies = F.col("__epochs") + F.coalesce((mine <= F.col("__cut")).cast("long"), F.lit(0))
+    # of a document's equal rows, so many end within the budget or cross it by half at most
+    fit = F.when(F.col("size") > 0, F.least(F.col("rows"), F.floor((F.col("left") - F.col("start")) / F.col("size") + 0.5))).otherwise(F.col("rows"))
+    begun = (F.col("left") > 0) & (F.col("start") <= F.col("left")) & (fit > 0)
+    cuts = cut_lineage(placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(begun, F.struct("key", F.col("rows").alias("rows"), fit.cast("long").alias("fit")))).alias("cut")))
+    cuts = cuts.select(F.col("source").alias("cut_source"), "epochs", "cut")
+    flat = numbered(docs)
+    key = _key(place(docs, id_col), place(docs, text_col))
     if cuts.count() <= FEW_SOURCES:  # else the planner's choice, which may shuffle the texts by source
         cuts = F.broadcast(cuts)
-    joined = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(docs.columns)
+    joined = flat.withColumn("key", key).join(cuts, F.col(place(docs, source_col)).cast("string").eqNullSafe(F.col("cut_source")))
+    at_border = (F.col("key") == F.col("cut.key")) & (F.col("cut.fit") < F.col("cut.rows"))
+    ties = joined.filter(F.coalesce(at_border, F.lit(False)))
+    rest = joined.filter(~F.coalesce(at_border, F.lit(False))).withColumn("more", F.coalesce((F.col("key") <= F.col("cut.key")).cast("int"), F.lit(0)))
+    if not placed.groupBy().agg(F.max("rows").alias("m")).filter("m > 1").isEmpty():  # rows of one id and text: number those at the border
+        nth = F.row_number().over(Window.partitionBy("cut_source").orderBy("key"))
+        rest = rest.unionByName(ties.withColumn("more", (nth <= F.col("cut.fit")).cast("int")))
+    copies = (F.col("epochs") + F.col("more")).cast("int")
+    return rest.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*flat.columns).toDF(*docs.columns)
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _vec
-from ._frames import as_bytes, cut_lineage, pick, written
+from ._frames import as_bytes, cut_lineage, numbered, pick, place, written
 
 WORDS = 3
 PERCENT = 85
@@ -280,17 +280,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns: one document of each group.
 
-    Of rows that repeat an id one stays. Only rows whose id may be among those dropped are shuffled.
+    Null and empty texts, and rows without an id, are kept. Of rows that repeat an id and a text one stays; where an id has
+    several texts, each is a document of its own, and of every group the one with the least hash of id and text stays. Names
+    of columns may clash; an empty table gives an empty one. Only rows whose id may be among those dropped are shuffled.
     """
-    found = cut_lineage(near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept"))
-    among = maybe_among(found)
-    maybe = F.coalesce(among(F.col(id_col).cast("long")), F.lit(False)) & F.col(id_col).isNotNull()
-    inside, outside = docs.filter(maybe), docs.filter(~maybe)
-    gone = found.filter("not kept").select(F.col("id").alias(id_col))
-    left = inside.join(gone, id_col, "left_anti")
-    if not found.filter("kept").isEmpty():
-        left = left.dropDuplicates([id_col])
-    return outside.unionByName(left.select(docs.columns))
+    flat, i, t = numbered(docs), place(docs, id_col), place(docs, text_col)
+    flat = flat.withColumn("node", F.col(i).cast("long"))
+    for own in (False, True):
+        if own:
+            flat = flat.withColumn("node", F.when(F.col("node").isNotNull(), F.xxhash64("node", t)))
+        judged = near_duplicates(flat, "node", t).filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+        found = cut_lineage(judged.filter("n > 1 or not kept"))
+        repeats = not found.filter("n > 1").isEmpty()
+        if not repeats or own or flat.join(found.filter("n > 1").select("node"), "node", "left_semi").groupBy("node").agg(F.count_distinct(F.xxhash64(t)).alias("texts")).filter("texts > 1").isEmpty():
+            break
+    maybe = F.coalesce(maybe_among(found, "node")("node"), F.lit(False)) & F.col("node").isNotNull()
+    left = flat.filter(maybe).join(found.filter("not kept").select("node"), "node", "left_anti")
+    if repeats:
+        left = left.dropDuplicates(["node"])
+    return flat.filter(~maybe).unionByName(left.select(flat.columns)).drop("node").toDF(*docs.columns)
 
 
 SQL = r"""

@@ -31,6 +31,45 @@ def test_nulls_repeats_and_clashing_columns(spark, name):
     assert whole(len(got))
 
 
+CASED = {"drop_near": OPS["drop_near"], "mixed": OPS["mixed"], "drop_toxic": OPS["drop_toxic"], "neardup": OPS["neardup"]}
+
+
+@pytest.mark.parametrize("name", CASED)
+def test_names_that_differ_in_case_only(spark, name):
+    rows = [(1, "one two three", "s", 7, "x", "T"), (2, "four five six", "s", 8, "y", "U"), (None, None, None, None, None, None)]
+    wide = spark.createDataFrame(rows, ["doc_id", "text", "source", "n", "k", "u"]).toDF("doc_id", "text", "source", "DOC_ID", "SOURCE", "Text")
+    got = CASED[name](wide)
+    assert name == "neardup" or got.columns == wide.columns
+    assert name == "mixed" or len(got.collect()) == 3
+
+
+def test_very_long_texts(spark):
+    long = "stone river light " * 120_000
+    df = spark.createDataFrame([(1, long, "s"), (2, long + "end", "s"), (3, "x" * 1_500_000, "s"), (4, "short", "s")], DOC)
+    got = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
+    assert got[1].n_shingles == 3 and got[2].component_id == 2 and got[3].n_shingles == 1  # 3 of 4 shingles in common: 75 %
+    assert sum(r.taken for r in mixing.mix_sources(df).collect()) == 120_000 * 6 + 3
+    assert {r.doc_id: r.size for r in sharding.shard_by_bytes(df).collect()} == {1: len(long) + 8, 2: len(long) + 11, 3: 1_500_008, 4: 13}
+
+
+def test_distinct_texts_of_one_id_are_each_judged(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(1, a, "s"), (5, b, "s"), (5, a, "s"), (5, a, "s"), (7, c, "s"), (None, c, "s")]
+    got = sorted(r.text for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, DOC)).collect())
+    assert got == sorted([a, b, c, c])
+
+
+def test_the_mix_ends_near_its_target_without_ids(spark):
+    """40 rows without an id: the border falls within them. And as many equal rows of one id."""
+    for rows in ([(None, f"w{i} " * 15, "a") for i in range(40)], [(3, "w " * 15, "a")] * 40):
+        rows = rows + [(100 + i, "v " * 30, "b") for i in range(10)]
+        df = spark.createDataFrame(rows, DOC)
+        targets = {r.source_size: r.target for r in mixing.mix_sources(df).collect()}
+        got = mixing.mix_documents(df).collect()
+        assert abs(sum(15 for r in got if r.source == "a") - targets[600]) <= 15 and abs(sum(30 for r in got if r.source == "b") - targets[300]) <= 30
+        assert sum(r.taken for r in mixing.mix_sources(df).collect()) == sum(int(t + 0.5) for t in targets.values())
+
+
 def test_empty_vectors_and_pages(spark):
     v = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert bitslice.top_k(v, v).collect() == []

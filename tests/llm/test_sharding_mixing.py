@@ -83,7 +83,9 @@ def brute_mix(rows):
     taken = {}
     for s in sources:
         budget = int(target[s] + 0.5)
-        for i in sorted((i for i, _, x in rows if x == s), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()):
+        md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+        texts = {i: t or "" for i, t, _ in rows}
+        for i in sorted((i for i, _, x in rows if x == s), key=lambda i: md5(f"mix:{i}:{md5(texts[i])}")):
             taken[i] = 0
         full, rest = divmod(budget, total[s]) if total[s] else (0, 0)
         for i in taken.copy():
