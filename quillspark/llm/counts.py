@@ -70,7 +70,7 @@ def _counter(path: str, piece: int, batch_bytes: int):
             for p in safe_pieces(t, piece) if splits and len(t) > 2 * piece else [t]:
                 held.append(p)
                 owners.append(i)
-                load += len(p)
+                load += len(p) if p.isascii() else len(p.encode())
                 if load >= batch_bytes:
                     flush()
         if held:
