@@ -87,7 +87,7 @@ def raw_scores(bias: float, weights: np.ndarray, factors: np.ndarray, docs: np.n
     return out
 
 
-def telling_pairs(docs: np.ndarray, words: np.ndarray, k: int, labels: np.ndarray, at_once: int = 2048) -> np.ndarray:
+def telling_pairs(docs: np.ndarray, words: np.ndarray, k: int, labels: np.ndarray, at_once: int = 512) -> np.ndarray:
     """Which of ``k`` words go with the label in some pair, beyond what each does alone: (k,) of booleans.
 
     ``docs, words``: the rows' distinct words. For every pair the sum over the rows of the product of both standardised
@@ -104,19 +104,24 @@ def telling_pairs(docs: np.ndarray, words: np.ndarray, k: int, labels: np.ndarra
     number = np.full(k, -1)
     number[used] = np.arange(len(used))
     mine = number[words] >= 0
-    docs, words, share = docs[mine], number[words[mine]], share[used]
+    docs, words, share = docs[mine].astype(np.int32), number[words[mine]].astype(np.int32), share[used]
+    order = np.argsort(words, kind="stable")
+    docs, words = docs[order], words[order]
     residual = (labels - labels.mean()).astype(np.float32)
     error = np.sqrt((residual.astype(np.float64) ** 2).sum())
 
     def block(lo: int) -> np.ndarray:
         x = np.zeros((n, min(at_once, len(used) - lo)), np.float32)
-        here = (words >= lo) & (words < lo + at_once)
+        here = slice(*np.searchsorted(words, (lo, lo + at_once)))
         x[docs[here], words[here] - lo] = 1
         p = share[lo : lo + at_once].astype(np.float32)
-        return (x - p) / np.sqrt(p * (1 - p))
+        x -= p
+        x /= np.sqrt(p * (1 - p))
+        return x
 
     for i in range(0, len(used), at_once):
-        left = block(i) * residual[:, None]
+        left = block(i)
+        left *= residual[:, None]
         for j in range(i, len(used), at_once):
             if share[i] * share[j] * n < EXPECTED:
                 break  # words come in falling order
@@ -140,9 +145,9 @@ def fit_machine(labels: np.ndarray, term_sets: list[np.ndarray], steps: int = 30
     none = Machine(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, FACTORS)))
     if not positive or positive == n:
         return none
-    docs = np.repeat(np.arange(n), [len(t) for t in term_sets])
-    flat = np.concatenate(term_sets)
-    hashes, number, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    docs = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in term_sets])
+    hashes, number, counts = np.unique(np.concatenate(term_sets), return_inverse=True, return_counts=True)
+    number = number.astype(np.int32)
     in_one = np.bincount(number, labels[docs], len(hashes))
     expected = counts * positive / n
     chi = (in_one - expected) ** 2 / (expected * (1 - positive / n))
@@ -202,8 +207,11 @@ def train_machine(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     texts = pick(docs, id=id_col, text=text_col)
     one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = one.select("label", "text").orderBy("id").mapInArrow(hashed, SAMPLED).toArrow()
-    return fit_machine(rows.column("label").to_numpy().astype(np.float64), [np.frombuffer(t, np.uint64) for t in rows.column("terms").to_pylist()]) if rows.num_rows else fit_machine(np.zeros(0), [])
+    rows = one.orderBy("id").select("label", "text").mapInArrow(hashed, SAMPLED).toArrow()
+    if not rows.num_rows:
+        return fit_machine(np.zeros(0), [])
+    terms = [np.frombuffer(t.as_buffer(), np.uint64) for chunk in rows.column("terms").chunks for t in chunk]  # as they lie, without copies
+    return fit_machine(rows.column("label").to_numpy().astype(np.float64), terms)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
