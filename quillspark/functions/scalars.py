@@ -81,9 +81,10 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def column_name(index: Column) -> Column:
-    """A spreadsheet column's letters: A to Z, then AA and on."""
-    one = F.char(F.lit(65) + F.pmod(index, F.lit(26)))
-    return F.when(index < 26, one).otherwise(F.concat(F.char(F.lit(64) + F.floor(index / 26)), one))
+    """A spreadsheet column's letters: A to Z, AA to ZZ, AAA and on to the last that sheets have."""
+    letter = lambda i: F.char(F.lit(65) + F.pmod(i, F.lit(26)))
+    two, three = F.floor((index - 26) / 26), F.floor((index - 702) / 676)
+    return F.when(index < 26, letter(index)).when(index < 702, F.concat(letter(two), letter(index))).otherwise(F.concat(letter(three), letter(F.floor((index - 702) / 26)), letter(index - 702)))
 
 
 def flatten_ocr(text: Column) -> Column:

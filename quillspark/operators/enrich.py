@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import one_space
+
 MISSING = "[image: OCR unavailable]"
 
 
@@ -44,11 +46,24 @@ def newest(entries: DataFrame, keep: int, by: str, tie: str) -> DataFrame:
     return entries.orderBy(F.desc(by), tie).limit(keep)
 
 
+#: What counts as a token of a page: a word or number with the marks inside it, or a run of Chinese or Kana.
+PAGE_TOKEN = r"[0-9A-Za-z][-0-9A-Za-z.,%$/+]*|[\u3040-\u30ff\u4e00-\u9fff]{2,}"
+
+
 def coverage(source: Column, shown: Column) -> Column:
-    """Share of the source's distinct words (two letters or more) found in what is shown; 1 where there are none."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(source), F.lit(r"([0-9a-z]{2,})"), 1))
-    hit = F.size(F.filter(words, lambda w: F.contains(F.lower(shown), w)))
-    return F.when(F.size(words) == 0, 1.0).otherwise(hit / F.size(words))
+    """``share, missing``: how many of the source's tokens (repeats counted) what is shown has, 1 without any; and those it lacks, in order.
+
+    White space in what is shown is made single once, and each distinct token is looked for once.
+    """
+    tokens = F.filter(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(f"({PAGE_TOKEN})"), 1), lambda t: F.length(t) > 1)
+    flat = one_space(F.coalesce(shown, F.lit("")))
+
+    def judged(both: Column) -> Column:
+        lost = F.array_sort(F.filter(F.array_distinct(both["tokens"]), lambda t: ~F.contains(both["flat"], t)))
+        gone = F.when(F.size(lost) == 0, 0).otherwise(F.size(F.filter(both["tokens"], lambda t: F.array_contains(lost, t))))
+        return F.struct(F.when(F.size(both["tokens"]) == 0, 1.0).otherwise(1 - gone / F.size(both["tokens"])).alias("share"), lost.alias("missing"))
+
+    return F.transform(F.array(F.struct(tokens.alias("tokens"), flat.alias("flat"))), judged)[0]  # each side is evaluated once
 
 
 def empty_structured(page: str = "page") -> Column:
@@ -57,18 +72,39 @@ def empty_structured(page: str = "page") -> Column:
 
 
 def violations(page: str = "page") -> Column:
-    """What a structured page says that doesn't hold together, as names of rules in order."""
+    """What a structured page says that doesn't hold together, as names of rules in order.
+
+    The page: ``text, headings, dates, tables, fields`` as read; ``illustrative`` (whether any table, field, metric or figure is);
+    and what was made of it: ``document_type, confidence, legibility, fidelity, summary, primary_date, sections, entities``, ``relations`` of
+    subject and object, ``figures`` of ``strings`` (all that are printed, those of nodes and edges too), ``values`` of data points, ``nodes`` of label and
+    kind, ``edges`` of from and to. White space is made single before texts are compared; nulls hold nothing.
+    """
     p = F.col(page)
-    sub = lambda xs, y: F.exists(xs, lambda x: ~F.contains(y, x))
+    some = lambda xs: F.coalesce(xs, F.array())
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    text, headings, dates = one_space(F.coalesce(p["text"], F.lit(""))), F.transform(some(p["headings"]), one_space), F.transform(some(p["dates"]), one_space)
+    absent = lambda x: ~blank(x) & ~F.contains(text, one_space(x))
+    held_back, screenshot = F.coalesce(p["illustrative"], F.lit(False)), F.coalesce(p["document_type"] == "screenshot", F.lit(False))
+
+    def loose_edge(f: Column) -> Column:
+        labels = F.transform(some(f["nodes"]), lambda n: one_space(F.coalesce(n["label"], F.lit(""))))
+        return F.exists(some(f["edges"]), lambda e: (~blank(e["from"]) & ~F.array_contains(labels, one_space(e["from"]))) | (~blank(e["to"]) & ~F.array_contains(labels, one_space(e["to"]))))
+
+    figures = some(p["figures"])
     rules = [
-        ("illustrative_needs_screenshot", p["illustrative"] & (p["document_type"] != "screenshot")),
-        ("low_confidence", p["confidence"] < 0.7),
-        ("described_needs_summary", (p["fidelity"] == "described") & (F.trim(F.coalesce(p["summary"], F.lit(""))) == "")),
-        ("skipped_not_empty", (p["fidelity"] == "skipped") & (F.trim(p["text"]) != "")),
-        ("primary_date_unknown", p["primary_date"].isNotNull() & ~F.array_contains(p["dates"], p["primary_date"])),
-        ("sections_beyond_headings", F.size(p["sections"]) > F.size(p["headings"]) + 2),
-        ("section_not_a_heading", F.exists(p["sections"], lambda s: ~F.array_contains(p["headings"], s))),
-        ("entity_not_in_text", sub(p["entities"], p["text"])),
+        ("illustrative_needs_screenshot", held_back & ~screenshot),
+        ("screenshot_unsure", held_back & screenshot & ((p["confidence"] < 0.7) | (p["legibility"] != "high"))),
+        ("described_needs_summary", p["fidelity"].isin("described", "caption") & blank(p["summary"])),
+        ("skipped_not_empty", (p["fidelity"] == "skipped") & (~blank(p["text"]) | (F.size(some(p["tables"])) > 0) | (F.size(some(p["fields"])) > 0))),
+        ("primary_date_unknown", ~blank(p["primary_date"]) & ~F.array_contains(dates, one_space(F.coalesce(p["primary_date"], F.lit(""))))),
+        ("figure_not_in_text", F.exists(figures, lambda f: F.exists(some(f["strings"]), absent))),
+        ("data_points_without_values", F.exists(figures, lambda f: (F.size(some(f["values"])) > 0) & F.forall(some(f["values"]), blank))),
+        ("edge_without_node", F.exists(figures, loose_edge)),
+        ("empty_node", F.exists(figures, lambda f: F.exists(some(f["nodes"]), lambda n: blank(n["label"]) & blank(n["kind"])))),
+        ("section_not_a_heading", F.exists(some(p["sections"]), lambda s: ~blank(s) & ~F.array_contains(headings, one_space(s)))),
+        ("sections_beyond_headings", F.size(some(p["sections"])) > F.size(some(p["headings"])) + 2),
+        ("entity_not_in_text", F.exists(some(p["entities"]), absent)),
+        ("relation_not_in_text", F.exists(some(p["relations"]), lambda r: absent(r["subject"]) | absent(r["object"]))),
     ]
     return F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules]))
 

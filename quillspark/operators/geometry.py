@@ -57,10 +57,12 @@ def is_decorative(width: Column, height: Column, page_width: Column, page_height
 BULLET = r"^[•\-\*–—▪▫●○■□]\s+"
 SHORT_MARK = r"^([A-Za-z]|\d+)[).]\s+"
 HAN, FORMAL = "一二三四五六七八九十百千", "壹貳參肆伍陸柒捌玖拾"
-#: Outline numbers; what follows must not go on like a decimal or a version.
-OUTLINE = (r"^\d+(?:(?:\.\d+)+|(?:-\d+)+|[.．、)])", rf"^[（(](?:\d+|[{HAN}]+)[)）]", rf"^(?:[{HAN}]+|[{FORMAL}]+)[.．、]")
-EXPLICIT = r"(?i)^(?:第[0-9一二三四五六七八九十百千]+[章節条條]|附錄[0-9一二三四五六七八九十]*|(?:appendix|chapter|section)\s+[0-9a-z]+)"
-BOUNDARY = r"(?=$|\s|[^0-9A-Za-z])"
+#: Outline numbers, taken as far as they go; what follows must not go on like a decimal or a version.
+OUTLINE = (
+    r"^\d++(?:\.\d++)++", r"^\d++(?:-\d++)++", r"^\d++[.)、．]", r"^[(（]\d++[)）]", rf"^[{HAN}]++[、．.]", rf"^[{FORMAL}]++[、．.]", rf"^[(（][{HAN}]++[)）]",
+)
+EXPLICIT = rf"(?i)^(?:第\s*[{HAN}\d]+\s*[章節节條篇]|(?:附表|附件|附錄)\s*[{HAN}\dA-Za-z]*|(?:Section|Chapter|Appendix)\b)"
+BOUNDARY = r"(?![0-9A-Za-z])"
 
 
 def normalized(text: Column) -> Column:
@@ -82,7 +84,9 @@ def has_list_marker(text: Column) -> Column:
 
 
 def heading_features(blocks: DataFrame) -> DataFrame:
-    """Add heading features to ``text, line_count, block_size, avg_size, max_size, is_bold, is_all_caps``."""
+    """Add heading features to ``text, line_count, block_size, avg_size, max_size, is_bold, is_all_caps``; without ``line_count`` each block is one line."""
+    if "line_count" not in blocks.columns:
+        blocks = blocks.withColumn("line_count", F.lit(1))
     n = F.col("normalized")
     explicit = F.regexp_extract(n, EXPLICIT, 0)
     mark = F.when(F.col("explicit") != "", F.col("explicit")).otherwise(F.col("outline"))
@@ -101,15 +105,23 @@ def heading_features(blocks: DataFrame) -> DataFrame:
     )
 
 
-def is_heading(f: str = "") -> Column:
-    """Over ``heading_features``: laid out like a heading, and not shaped like running text."""
-    c = lambda x: F.col(f + x)
+def is_heading(require_layout: bool = False) -> Column:
+    """Over ``heading_features``: short and not shaped like running text.
+
+    Named parts (a chapter, an appendix) need no layout. With ``require_layout`` all others must be laid out like
+    a heading; a clause-like rest behind an outline number needs that in any case.
+    """
+    c = F.col
     layout = (c("size_ratio") >= 1.2) | (c("is_bold") & (c("size_ratio") >= 1.05)) | c("is_all_caps")
     body = c("has_checkbox") | c("is_form_field") | c("has_sentence_end") | c("goes_on") | (c("length") > 120)
-    after = c("after_mark")
-    soft = (after.rlike("[,，]") & (c("length") > 24)) | (after.rlike("[:：]") & (c("length") > 30)) | c("is_long_clause") | (c("separators") >= 3)
-    limit = F.when(c("has_cjk"), 24).otherwise(80)
-    return (c("length") > 0) & ~body & ~soft & (c("length") <= limit) & (c("is_explicit") | c("is_structured") | layout)
+    after, n = c("after_mark"), c("length")
+    soft = (after.rlike("[,，]") & (n > 24)) | (after.rlike("[:：]") & (n > 30)) | (c("separators") >= 3) | ((c("separators") >= 2) & ~c("is_structured") & (n > 36)) | c("is_long_clause")
+    numbered = ~c("is_long_clause") & (~soft | layout) & (n <= 80)
+    plain = ~soft & (n <= F.when(c("has_cjk"), 24).otherwise(80))
+    others = F.when(c("is_structured"), numbered).otherwise(plain)
+    if require_layout:
+        others = layout & others
+    return (n > 0) & (c("line_count") <= 2) & ~body & F.when(c("is_explicit"), (n <= 80) & ~(soft & (n > 60))).otherwise(others)
 
 
 def is_title() -> Column:

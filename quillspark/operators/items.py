@@ -76,6 +76,6 @@ def line_count(text: Column) -> Column:
 def plain_text(markdown: Column) -> Column:
     """Markdown with the marks of headings, bold, italics, links and code taken out, in that order, anywhere in a line."""
     out = F.regexp_replace(markdown, r"#+ ", "")
-    for pattern, to in ((r"(?d)\*\*(.*?)\*\*", "$1"), (r"(?d)\*(.*?)\*", "$1"), (r"(?d)\[(.*?)]\(.*?\)", "$1"), (r"(?d)`(.*?)`", "$1")):
+    for pattern, to in ((r"(?d)\*\*(.+?)\*\*", "$1"), (r"(?d)\*(.+?)\*", "$1"), (r"(?d)\[(.+?)]\(.+?\)", "$1"), (r"(?d)`(.+?)`", "$1")):
         out = F.regexp_replace(out, pattern, to)
     return out

@@ -114,7 +114,7 @@ def overlap(contents: list[str], config: ChunkConfig) -> list[str]:
         if size(tail) > config.overlap:
             tail = tail_of(tail, config.overlap)
             at = tail.find(" ")
-            tail = tail[at + 1 :] if at > 0 else tail
+            tail = tail[at + 1 :]  # the whole tail where there is no space
         out.append(f"{tail}\n\n{text}")
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import chrome, enrich, geometry, quality, render, sections, tables
+from ..operators import chrome, enrich, geometry, ocr_page, quality, render, sections, tables
 from ..operators import items as I
 from ..sources import formats, parsers
 from . import views as V
@@ -105,7 +105,7 @@ def txt_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", I.word_count(F.col("text")).alias("words"), I.line_count(F.col("text")).alias("lines"), F.length("text").cast("long").alias("chars"))
 
 
-_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '#+ ', '', 'g'), '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '\[(.*?)]\(.*?\)', '\1', 'g'), '`(.*?)`', '\1', 'g')"""
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '#+ ', '', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '\[(.+?)]\(.+?\)', '\1', 'g'), '`(.+?)`', '\1', 'g')"""
 _MARKED = "'# ' || text || ' **bold** and [link](http://x/' || CAST({id} AS VARCHAR) || ') `code` *it*'"
 
 
@@ -415,9 +415,24 @@ def heading_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("doc_id", "seq", "length", F.round("size_ratio", 9).alias("size_ratio"), F.round("max_size_ratio", 9).alias("max_size_ratio"), "has_cjk", "has_sentence_end", "goes_on", F.col("separators").cast("int").alias("separators"), "is_form_field")
 
 
-@query()
+_HAN = geometry.HAN
+_OUTLINE = [r"^\d+(?:\.\d+)+", r"^\d+(?:-\d+)+", r"^\d+[.)、．]", r"^[(（]\d+[)）]", f"^[{_HAN}]+[、．.]", f"^[{geometry.FORMAL}]+[、．.]", f"^[(（][{_HAN}]+[)）]"]
+_MARK_CASES = " ".join(f"WHEN regexp_extract(n, '{p}') <> '' AND NOT regexp_matches(substr(n, length(regexp_extract(n, '{p}')) + 1, 1), '^[0-9A-Za-z]') THEN regexp_extract(n, '{p}')" for p in _OUTLINE)
+
+
+@query(
+    f"WITH {V.V_LINES}, {_FEATS}, a AS (SELECT *, regexp_extract(n, '(?i)^(?:第\\s*[{_HAN}\\d]+\\s*[章節节條篇]|(?:附表|附件|附錄)\\s*[{_HAN}\\dA-Za-z]*|(?:Section|Chapter|Appendix)\\b)') AS explicit, CASE {_MARK_CASES} ELSE '' END AS outline FROM f),"
+    + r""" b AS (SELECT *, trim(substr(n, length(CASE WHEN explicit <> '' THEN explicit ELSE outline END) + 1)) AS rest, block_size / 11.0 >= 1.2 OR (is_bold AND block_size / 11.0 >= 1.05) AS layout,
+  length(n) - length(replace(replace(replace(replace(replace(n, ',', ''), '，', ''), '、', ''), ':', ''), '：', '')) AS seps FROM a),
+ c AS (SELECT *, outline <> '' AND rest <> '' AS numbered FROM b), d AS (SELECT *, numbered AND length(n) > 32 AND regexp_matches(rest, '[,，、:：]') AS clause FROM c),
+ e AS (SELECT *, (regexp_matches(rest, '[,，]') AND length(n) > 24) OR (regexp_matches(rest, '[:：]') AND length(n) > 30) OR seps >= 3 OR (seps >= 2 AND NOT numbered AND length(n) > 36) OR clause AS soft,
+  regexp_matches(n, '^[□■☑☐]|…{2,}|\.{4,}|_{3,}|[。！？!?；;]|[，,、；;.]$') OR length(n) > 120 AS body FROM d),
+ g AS (SELECT *, n <> '' AND NOT body AS open, CASE WHEN numbered THEN NOT clause AND (NOT soft OR layout) AND length(n) <= 80 ELSE NOT soft AND length(n) <= CASE WHEN regexp_matches(n, '[一-鿿]') THEN 24 ELSE 80 END END AS others FROM e)
+ SELECT doc_id, seq, open AND CASE WHEN explicit <> '' THEN length(n) <= 80 AND NOT (soft AND length(n) > 60) ELSE others END AS is_heading,
+  open AND CASE WHEN explicit <> '' THEN length(n) <= 80 AND NOT (soft AND length(n) > 60) ELSE layout AND others END AS is_laid_out, block_size / 14.0 >= 0.85 AND (block_size / 11.0 >= 1.15 OR is_bold) AS is_title FROM g"""
+)
 def heading_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir).select("doc_id", "seq", geometry.is_heading().alias("is_heading"), geometry.is_title().alias("is_title"))
+    return _blocks(spark, sf_dir).select("doc_id", "seq", geometry.is_heading().alias("is_heading"), geometry.is_heading(require_layout=True).alias("is_laid_out"), geometry.is_title().alias("is_title"))
 
 
 @query(f"WITH {V.V_GEO} SELECT page, event_id, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, event_id) AS INTEGER) AS place FROM v_geo")
@@ -561,16 +576,27 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT doc_id, coalesce(text, '') AS text, (doc_id % 100) / 100.0 AS conf FROM documents), w AS (SELECT *, string_split(text, ' ') AS words FROM p)
- SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'illustrative_needs_screenshot' END, CASE WHEN conf < 0.7 THEN 'low_confidence' END, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN 'described_needs_summary' END, CASE WHEN doc_id % 5 = 1 AND trim(text) <> '' THEN 'skipped_not_empty' END,
-  CASE WHEN doc_id % 4 = 0 THEN 'primary_date_unknown' END, CASE WHEN doc_id % 6 = 0 THEN 'section_not_a_heading' END, CASE WHEN doc_id % 9 = 0 THEN 'entity_not_in_text' END], lambda x: x IS NOT NULL) AS violations FROM w"""
+    r"""WITH p AS (SELECT doc_id AS i, trim(coalesce(text, '')) AS t, split_part(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ', 1) AS word FROM documents)
+ SELECT i AS doc_id, list_filter([CASE WHEN i % 2 = 0 AND i % 3 <> 0 THEN 'illustrative_needs_screenshot' END, CASE WHEN i % 6 = 0 AND (i % 100 < 70 OR i % 4 = 0) THEN 'screenshot_unsure' END,
+  CASE WHEN i % 5 IN (0, 3) AND i % 7 <> 0 THEN 'described_needs_summary' END, CASE WHEN i % 5 = 1 AND (t <> '' OR i % 11 = 0) THEN 'skipped_not_empty' END, CASE WHEN i % 4 = 0 THEN 'primary_date_unknown' END,
+  CASE WHEN i % 13 = 0 THEN 'figure_not_in_text' END, CASE WHEN i % 8 = 0 THEN 'data_points_without_values' END, CASE WHEN i % 10 = 0 THEN 'edge_without_node' END, CASE WHEN i % 15 = 0 THEN 'empty_node' END,
+  CASE WHEN i % 6 = 0 THEN 'section_not_a_heading' END, CASE WHEN i % 12 = 0 THEN 'sections_beyond_headings' END, CASE WHEN i % 9 = 0 THEN 'entity_not_in_text' END, CASE WHEN i % 14 = 0 THEN 'relation_not_in_text' END], lambda x: x IS NOT NULL) AS violations FROM p"""
 )
 def router_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
+    """Each rule is broken by the documents of one remainder; what is printed is the text's first word."""
+    i, nowhere = F.col("doc_id"), F.lit("\u0001nowhere")
+    word, empty = F.element_at(F.split(X.one_space(F.coalesce("text", F.lit(""))), " "), 1), F.array().cast("array<string>")
+    node = lambda label, kind: F.struct(label.alias("label"), kind.alias("kind"))
+    figure = F.struct(
+        F.when(i % 13 == 0, F.array(word, nowhere)).otherwise(F.array(word, F.lit(" "))).alias("strings"), F.when(i % 8 == 0, F.array(F.lit(""), F.lit(" "))).when(i % 8 == 1, empty).otherwise(F.array(F.lit(""), F.lit("1"))).alias("values"),
+        F.array(node(word, F.lit("")), node(F.lit(" "), F.when(i % 15 == 0, " ").otherwise("box"))).alias("nodes"), F.array(F.struct(word.alias("from"), F.when(i % 10 == 0, "other").otherwise("").alias("to"))).alias("edges"),
+    )
     page = F.struct(
-        F.coalesce("text", F.lit("")).alias("text"), (i % 2 == 0).alias("illustrative"), F.when(i % 3 == 0, "screenshot").otherwise("page").alias("document_type"), ((i % 100) / 100.0).alias("confidence"),
-        F.when(i % 5 == 0, "described").when(i % 5 == 1, "skipped").otherwise("full").alias("fidelity"), F.when(i % 7 == 0, "s").alias("summary"), F.when(i % 4 == 0, "2020-01-01").alias("primary_date"), F.array(F.lit("2021-01-01")).alias("dates"),
-        F.when(i % 6 == 0, F.array(F.lit("zz"))).otherwise(F.array(F.lit("h"))).alias("sections"), F.array(F.lit("h")).alias("headings"), F.when(i % 9 == 0, F.array(F.lit("\u0001nowhere"))).otherwise(F.array().cast("array<string>")).alias("entities"),
+        F.coalesce("text", F.lit("")).alias("text"), (i % 2 == 0).alias("illustrative"), F.when(i % 3 == 0, "screenshot").otherwise("page").alias("document_type"), ((i % 100) / 100.0).alias("confidence"), F.when(i % 4 == 0, "low").otherwise("high").alias("legibility"),
+        F.when(i % 5 == 0, "described").when(i % 5 == 3, "caption").when(i % 5 == 1, "skipped").otherwise("verbatim").alias("fidelity"), F.when(i % 7 == 0, "s").otherwise(" ").alias("summary"),
+        F.when(i % 4 == 0, "2020-01-01").when(i % 4 == 1, " 2021 ").alias("primary_date"), F.array(F.lit("2021")).alias("dates"), F.when(i % 11 == 0, F.array(F.lit("t"))).otherwise(empty).alias("tables"), empty.alias("fields"),
+        F.when(i % 12 == 0, F.array_repeat(F.lit("zz"), 4)).when(i % 6 == 0, F.array(F.lit("zz"))).otherwise(F.array(F.lit(" h"), F.lit(""))).alias("sections"), F.array(F.lit("h")).alias("headings"),
+        F.when(i % 9 == 0, F.array(nowhere)).otherwise(F.array(word)).alias("entities"), F.array(F.struct(word.alias("subject"), F.when(i % 14 == 0, nowhere).alias("object"))).alias("relations"), F.array(figure).alias("figures"),
     )
     return V.documents(spark, sf_dir).select("doc_id", page.alias("page")).select("doc_id", enrich.violations().alias("violations"))
 
@@ -582,9 +608,36 @@ def empty_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", page.alias("page")).select("doc_id", enrich.empty_structured().alias("is_empty"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]{2,}')) AS words, lower(substring(text, 1, 500)) AS shown FROM documents) SELECT doc_id, round(CASE WHEN len(words) = 0 THEN 1.0 ELSE CAST(len(list_filter(words, lambda x: contains(shown, x))) AS DOUBLE) / len(words) END, 9) AS coverage FROM w""")
+@query(
+    f"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{enrich.PAGE_TOKEN.replace(chr(92) + 'u3040', chr(0x3040)).replace(chr(92) + 'u30ff', chr(0x30FF)).replace(chr(92) + 'u4e00', chr(0x4E00)).replace(chr(92) + 'u9fff', chr(0x9FFF))}'), lambda x: length(x) > 1) AS toks, trim(regexp_replace({_PLAIN.format(x="coalesce(text, '')")}, '\\s+', ' ', 'g')) AS shown FROM documents),"
+    " m AS (SELECT *, list_sort(list_filter(list_distinct(toks), lambda x: NOT contains(shown, x))) AS missing FROM w)"
+    " SELECT doc_id, round(CASE WHEN len(toks) = 0 THEN 1.0 ELSE 1 - CAST(len(list_filter(toks, lambda x: list_contains(missing, x))) AS DOUBLE) / len(toks) END, 9) AS coverage, missing FROM m"
+)
 def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.documents(spark, sf_dir).select("doc_id", F.round(enrich.coverage(F.col("text"), F.substring("text", 1, 500)), 9).alias("coverage"))
+    """How much of each whole text its plain rendering keeps, and which tokens it loses."""
+    c = V.documents(spark, sf_dir).select("doc_id", enrich.coverage(F.col("text"), I.plain_text(F.coalesce("text", F.lit("")))).alias("c"))
+    return c.select("doc_id", F.round("c.share", 9).alias("coverage"), "c.missing")
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id AS i, trim(coalesce(text, ''), ' ') AS t FROM documents)
+ SELECT i AS doc_id, CASE WHEN i % 4 = 0 AND t <> '' THEN '## Page' || chr(10) || t ELSE concat_ws(chr(10) || chr(10), CASE WHEN i % 3 = 0 THEN '# Title ' || i END, CASE WHEN t <> '' THEN t END,
+  '| id | kind |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' |  |', CASE WHEN i % 2 = 0 THEN '| Metric | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| — | ' || i || ' MB |' END) END
+  || CASE WHEN i % 4 = 0 AND t <> '' THEN chr(10) || chr(10) || '| id | kind |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' |  |' ELSE '' END AS markdown FROM p"""
+)
+def ocr_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured pages made of each document: some with Markdown of their own, which has all of the text's tokens."""
+    i = F.col("doc_id")
+    one, text = i.cast("string"), F.coalesce("text", F.lit(""))
+    table = F.struct(F.lit("").alias("caption"), F.array(F.lit("id"), F.lit("kind")).alias("headers"), F.array(F.array(one)).alias("rows"), F.lit(None).cast("string").alias("html"), F.lit("").alias("markdown"))
+    metric = F.struct(F.lit("").alias("label"), one.alias("value"), F.lit("MB").alias("unit"), (i % 2 == 1).alias("illustrative"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    page = F.struct(
+        text.alias("text"), F.when(i % 3 == 0, F.concat(F.lit("Title "), one)).alias("page_title"), F.when((i % 4 == 0) & (F.trim(text) != ""), F.concat(F.lit("## Page\n"), text)).alias("page_markdown"), F.array(table).alias("tables"), F.array(metric).alias("metrics"),
+        none("struct<title:string,kind:string,meaning:string,trend:string,illustrative:boolean,data_points:array<struct<label:string,value:string,series:string>>,nodes:array<struct<label:string,kind:string>>,edges:array<struct<from:string,to:string,label:string>>>").alias("figures"),
+        none("struct<heading:string,level:int,summary:string,key_points:array<string>>").alias("sections"),
+    )
+    return V.documents(spark, sf_dir).select("doc_id", page.alias("page")).select("doc_id", ocr_page.page_markdown().alias("markdown"))
 
 
 @query(f"WITH {V.V_ITEMS}, p AS (SELECT DISTINCT doc_id, page FROM v_items) SELECT a.doc_id, a.page, list_sort(list(b.page)) AS around FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.page - b.page) <= 1 GROUP BY ALL")
@@ -598,9 +651,10 @@ def dup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.dup_line_ratio(I.lines(V.documents(spark, sf_dir))).withColumn("dup_ratio", F.round("dup_ratio", 9))
 
 
-@query(f"WITH {V.V_LINES}, l AS (SELECT v.doc_id, trim(line) AS line, substring(d.text, 1, 800) AS out FROM v_lines v JOIN documents d ON v.doc_id = d.doc_id WHERE trim(line) <> '') SELECT doc_id, round(avg(CASE WHEN contains(out, line) THEN 1.0 ELSE 0.0 END), 9) AS preserved FROM l GROUP BY doc_id")
+@query(f"WITH {V.V_LINES}, o AS (SELECT doc_id, {_PLAIN.format(x='text')} AS out FROM documents), l AS (SELECT v.doc_id, trim(line) AS line, o.out FROM v_lines v JOIN o ON v.doc_id = o.doc_id WHERE trim(line) <> '') SELECT doc_id, round(avg(CASE WHEN contains(out, line) THEN 1.0 ELSE 0.0 END), 9) AS preserved FROM l GROUP BY doc_id")
 def text_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.documents(spark, sf_dir).select("doc_id", "text", F.substring("text", 1, 800).alias("output"))
+    """How many lines of each whole text its plain rendering keeps."""
+    d = V.documents(spark, sf_dir).select("doc_id", "text", I.plain_text(F.col("text")).alias("output"))
     return quality.text_preservation(d).withColumn("preserved", F.round("preserved", 9))
 
 
@@ -611,9 +665,9 @@ def table_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cell_accuracy(truth, got).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("""SELECT event_id, chr(CAST(65 + event_id % 26 AS INTEGER)) AS column_name, CASE WHEN value >= 1 THEN 'v' ELSE 'w' END AS band FROM events""")
+@query("""SELECT event_id, CASE WHEN k < 26 THEN chr(65 + k) WHEN k < 702 THEN chr(64 + k // 26) || chr(65 + k % 26) ELSE chr(65 + (k - 702) // 676) || chr(65 + (k - 702) // 26 % 26) || chr(65 + (k - 702) % 26) END AS column_name, CASE WHEN value >= 1 THEN 'v' ELSE 'w' END AS band FROM (SELECT *, CAST(event_id % 16384 AS INTEGER) AS k FROM events)""")
 def cell_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.read(spark, sf_dir, "events").select("event_id", X.column_name(F.col("event_id") % 26).alias("column_name"), F.when(F.col("value") >= 1, "v").otherwise("w").alias("band"))
+    return V.read(spark, sf_dir, "events").select("event_id", X.column_name(F.col("event_id") % 16384).alias("column_name"), F.when(F.col("value") >= 1, "v").otherwise("w").alias("band"))
 
 
 @query()
@@ -624,7 +678,7 @@ def stream_cache_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache_state.replay(V.v_access(spark, sf_dir))
 
 
-@query()
+@query("""SELECT doc_id, list_element(['png', 'jpeg', 'gif', 'webp', 'tiff', 'bmp', 'heic', 'avif', 'unknown'], CAST(doc_id % 9 + 1 AS BIGINT)) AS kind FROM documents""")
 def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = ["89504E470D0A1A0A0000000D", "FFD8FFE000104A4649460001", "474946383961010001008000", "524946460000000057454250", "49492A000800000000000000", "424D00000000000000000000", "0000001866747970686569630000", "00000018667479706176696600", "AABB"]
     h = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % len(heads) + 1).cast("int")))

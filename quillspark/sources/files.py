@@ -40,12 +40,29 @@ def load(spark: SparkSession, path: str, **options: Any) -> parsers.Parsed:
 
 
 def load_files(spark: SparkSession, paths: list[str], **options: Any) -> DataFrame:
-    """The files named, in their order (``input_ordinal``); an empty list gives an empty table."""
+    """The files named (paths or URIs), in their order (``input_ordinal``); an empty list gives an empty table.
+
+    A path that can't be found is a row with an error, not the end of the batch.
+    """
     if not paths:
         return spark.createDataFrame([], parsers.PARSED).withColumn("input_ordinal", F.lit(0))
-    order = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "name string, input_ordinal int")
-    parsed = parsers.parse_files(formats.route(spark.read.format("binaryFile").load(paths)), options)
-    return parsed.withColumn("name", F.regexp_replace("path", "^file:/+", "/")).join(F.broadcast(order), "name").drop("name").orderBy("input_ordinal")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    asked, there = [], []
+    for i, p in enumerate(paths):  # names are made as the scan will give them
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        asked.append((fs.makeQualified(at).toString(), i))
+        if fs.exists(at):
+            there.append(asked[-1][0])
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    order = spark.createDataFrame(asked, "asked string, input_ordinal int").withColumn("name", plain(F.col("asked")))
+    parsed = spark.createDataFrame([], parsers.PARSED)
+    if there:
+        parsed = parsers.parse_files(formats.route(spark.read.format("binaryFile").load(sorted(set(there)))), options)
+    found = order.join(parsed.withColumn("name", plain(F.col("path"))), "name", "left")  # the planner broadcasts the shorter side only if it is small
+    error = parsers.PARSED["error"].dataType
+    lost = F.struct(*[F.lit("FileNotFoundError" if f.name == "class" else "file not found").cast(f.dataType).alias(f.name) for f in error.fields])
+    return found.withColumn("error", F.when(F.col("path").isNull(), lost).otherwise(F.col("error"))).withColumn("path", F.coalesce("path", "asked")).drop("name", "asked").orderBy("input_ordinal")
 
 
 def batch_results(parsed: DataFrame) -> DataFrame:

@@ -136,6 +136,8 @@ def test_folders(spark, folder, tmp_path):
         files.load(spark, str(folder / "e.unknown"))
     chosen = [str(folder / n) for n in ("g.csv", "a.txt")]
     assert [r.input_ordinal for r in files.load_files(spark, chosen).collect()] == [0, 1] and files.load_files(spark, []).count() == 0
+    uris = ["file://" + chosen[0], str(folder / "gone.txt"), *chosen[1:]]
+    assert [(r.input_ordinal, r.error and r.error["class"]) for r in files.load_files(spark, uris).collect()] == [(0, None), (1, "FileNotFoundError"), (2, None)]
     out = files.save_one_file_each(files.load_directory(spark, str(folder)), str(tmp_path / "out")).collect()
     assert len(out) == 4 and all(open(r.output_file).read() for r in out)
 
