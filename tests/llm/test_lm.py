@@ -221,6 +221,27 @@ def test_every_training_text_has_cells():
     assert abs(np.mean(shares) - 1 / lm.SHARE) < 0.02
 
 
+def test_every_word_is_in_one_cell():
+    rng = random.Random(5)
+    texts = [b"", b" \n", b"x" * 9000, b" ".join([b"y" * 5000] * 3), b"z" * lm.CELL + b" end", b" " * (2 * lm.CELL), *(b" ".join(bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40))) for _ in range(n)) for n in (3, 400, 3000))]
+    for i, t in enumerate(texts):
+        found = list(lm.cells_of(i, t))
+        assert [w for c in found for w in c[5].split()[c[2] :]] == t.split()
+        assert [c[4] for c in found] == [False] * (len(found) - 1) + [True]
+
+
+def test_a_round_that_is_not_kept_loses_no_cells(spark, monkeypatch):
+    """The first round spoils the parameters, so all is as if the last round were the only one."""
+    rows = [(i, f"river stone {i} light " * 20) for i in range(600)]
+    texts, sw = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), lm.subwords_of(TOK)
+    blank = lm.blank_model(np.ones(sw.size), sw.first)
+    monkeypatch.setattr(lm, "RATES", (50.0, *lm.RATES[1:]))
+    stopped, last = (lm.train_model(texts, blank, np.zeros(0), 600, TOK, 1, rounds) for rounds in (3, 1))
+    assert len(stopped.losses) == 3 and stopped.losses[1] > stopped.losses[0]
+    assert stopped.trained == last.trained
+    assert all(np.array_equal(stopped.params[k], last.params[k]) for k in last.params)
+
+
 def test_all_texts_are_trained_on_and_judges_too(spark):
     rows = [(i, f"river stone {i} light") for i in range(600)]
     sw = lm.subwords_of(TOK)
