@@ -1,12 +1,17 @@
 """Token counts: Arrow functions that encode byte-balanced batches with a public tokenizer and return lengths only.
 
-Long texts are split at safe boundaries, where no token can span: before a single space that stands
-between two non-space characters. A text without such a place is encoded in one piece.
+Texts are split at safe boundaries, where no token can span: before a single space that stands
+between two non-space characters. So what stands between two of them has one number of tokens wherever it
+stands, and a process encodes it once. A text without such a place is encoded in one piece.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,35 @@ def safe_pieces(text: str, limit: int) -> list[str]:
     return pieces
 
 
-def _counter(path: str, piece: int, batch_bytes: int):
-    """A function from texts to token counts, with the library that fits the file."""
+#: A safe boundary; it begins with the space, which is searched for fastest.
+_BOUNDARY = re.compile(r" (?<=\S )(?=\S)")
+
+
+class _Known(dict):
+    """Numbers of what stands behind the space of a boundary; new ones are noted in ``fresh``."""
+
+    #: Beyond so many, or so many characters, all are forgotten.
+    MOST, CHARS = 300_000, 1 << 24
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+        self.tokens, self.chars = np.zeros(0, np.int64), 0
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = len(self)
+        return self[word]
+
+    def learn(self, lengths: Callable[[list[str]], np.ndarray]) -> None:
+        if self.fresh:
+            self.tokens = np.concatenate((self.tokens, lengths([" " + w for w in self.fresh])))
+            self.chars += sum(map(len, self.fresh))
+            self.fresh = []
+
+
+@lru_cache(2)
+def _counter(path: str, piece: int, batch_bytes: int) -> Callable[[list[str]], np.ndarray]:
+    """A function from texts to token counts, with the library that fits the file; one per process, so that words stay known from task to task."""
     if str(path).endswith(".model"):
         import sentencepiece
 
@@ -56,25 +88,38 @@ def _counter(path: str, piece: int, batch_bytes: int):
 
     # Only a byte-level pre-tokenizer without normaliser is known to have these boundaries; others get whole texts.
     pre = tok.pre_tokenizer
-    splits = tok.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
+    splits = tok.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+    splits = splits and not any(t.lstrip or t.rstrip or len(t.content.split()) != 1 or t.content.strip() != t.content for t in tok.get_added_tokens_decoder().values())
+
+    def lengths(texts: list[str]) -> np.ndarray:
+        out, held, load = [], [], 0
+        for t in texts:
+            held.append(t)
+            load += len(t) if t.isascii() else len(t.encode())
+            if load >= batch_bytes:
+                out += map(len, tok.encode_batch_fast(held, add_special_tokens=False))
+                held, load = [], 0
+        out += map(len, tok.encode_batch_fast(held, add_special_tokens=False)) if held else ()
+        return np.array(out, np.int64)
+
+    if not splits:
+        return lengths
+    known = _Known()
 
     def count(texts: list[str]) -> np.ndarray:
-        out, held, owners, load = np.zeros(len(texts), np.int64), [], [], 0
-
-        def flush() -> None:
-            nonlocal held, owners, load
-            np.add.at(out, owners, [len(e) for e in tok.encode_batch_fast(held, add_special_tokens=False)])
-            held, owners, load = [], [], 0
-
+        nonlocal known
+        if len(known) > _Known.MOST or known.chars > _Known.CHARS:
+            known = _Known()
+        heads, owners, numbers = [], [], []
         for i, t in enumerate(texts):
-            for p in safe_pieces(t, piece) if splits and len(t) > 2 * piece else [t]:
-                held.append(p)
+            for p in safe_pieces(t, piece) if len(t) > 2 * piece else [t]:
+                words = _BOUNDARY.split(p)
+                heads.append(words[0])
                 owners.append(i)
-                load += len(p) if p.isascii() else len(p.encode())
-                if load >= batch_bytes:
-                    flush()
-        if held:
-            flush()
+                numbers.append(np.fromiter(map(known.__getitem__, islice(words, 1, None)), np.int64, len(words) - 1))
+        known.learn(lengths)
+        out = np.zeros(len(texts), np.int64)
+        np.add.at(out, owners, lengths(heads) + np.array([known.tokens[n].sum() for n in numbers], np.int64))
         return out
 
     return count

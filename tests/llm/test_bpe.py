@@ -77,3 +77,24 @@ def test_counts_with_sentencepiece(docs, corpus):
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     got = {r.doc_id: r.n_tokens for r in counts.token_counts(docs, path).collect()}
     assert all(got[i] == len(sp.encode(t or "")) for i, t, _ in corpus)
+
+
+def test_a_word_met_before_is_not_encoded_again(corpus, monkeypatch):
+    """Counts are the library's whatever stands around a space, and each word goes to the library once."""
+    from tokenizers import Tokenizer
+
+    odd = ["", " ", "a", " a", "a ", "a b", "a  b", "a \n b", "a  b", "a　b c", "it 's I'm  don 't", "x <|endoftext|> y<|endoftext|> z", "\u0085 a b\u0085 c", "\x1c a \x1c b", "a\tb c\n\nd e", "1 2 3,4 -5", "日本 語😀 a", "a ​ b", "word " * 300]
+    texts = [*odd, *(t or "" for _, t, *_ in corpus)]
+    tok = Tokenizer.from_file(TOK)
+    want = [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+    for piece in (1 << 15, 40):
+        counts._counter.cache_clear()
+        assert counts._counter(TOK, piece, 1 << 10)(texts).tolist() == want
+    words = [f"river stone{i % 7} light" for i in range(500)]
+    counter, sent = counts._counter(TOK, 1 << 15, 1 << 18), []
+    learn = counts._Known.learn
+    monkeypatch.setattr(counts._Known, "learn", lambda self, lengths: (sent.extend(self.fresh), learn(self, lengths)))
+    assert counter(words).tolist() == counter(words).tolist() == [len(tok.encode(t)) for t in words]
+    assert len(sent) == len(set(sent)) <= 8
+    monkeypatch.setattr(counts._Known, "MOST", 0)  # what is forgotten is encoded anew
+    assert counter(words).tolist() == [len(tok.encode(t)) for t in words]
