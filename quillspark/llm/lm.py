@@ -96,31 +96,33 @@ class Subwords:
         bpe = SpeculativeBPE(path, use_special=False)
         self.size, self._ids, self._longest = len(bpe.bytes_of), bpe._proposals, bpe._longest
         self.first = np.array([b[:1] == b" " for b in bpe.bytes_of])
-        children: list[dict[int, int]] = [{}]
-        token = [-1]
-        for text, i in self._ids.items():
-            node = 0
-            for c in text:
-                if c not in children[node]:
-                    children[node][c] = len(children)
-                    children.append({})
-                    token.append(-1)
-                node = children[node][c]
-            token[node] = i
-        inner = [n for n, kids in enumerate(children) if kids]  # nodes with children come first, so that only they have a row
-        number = np.full(len(children), -1, np.int32)
-        number[inner] = np.arange(len(inner))
-        leaves = np.flatnonzero(number < 0)
-        number[leaves] = len(inner) + np.arange(len(leaves))
+        del bpe
+        texts, ids = [t for t in self._ids if t], np.array([i for t, i in self._ids.items() if t], np.int32)
+        lengths = np.array([len(t) for t in texts])
+        raw, begins = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths
+        node, nodes = np.zeros(len(texts), np.int64), 1  # of each text as far as it is walked
+        edges, ended = [], []
+        left = np.arange(len(texts))
+        for depth in range(int(lengths.max())):
+            left = left[lengths[left] > depth]
+            edge, kid = np.unique(node[left] * 256 + raw[begins[left] + depth], return_inverse=True)
+            node[left] = nodes + kid
+            edges.append(np.stack((edge, nodes + np.arange(len(edge)))))
+            nodes += len(edge)
+            ended.append(left[lengths[left] == depth + 1])
+        edge, kid = np.concatenate(edges, axis=1)
+        inner = np.unique(edge // 256)  # nodes with children come first, so that only they have a row
         self.rows = len(inner)
-        table = np.full((self.rows, 256), -1, np.int32)
-        for n in inner:
-            for c, kid in children[n].items():
-                table[number[n], c] = number[kid]
-        self.table = table.reshape(-1)
-        self.token = np.empty(len(children), np.int32)
-        self.token[number] = token
-        self.root, self.space = int(number[0]), int(number[children[0][32]])
+        number = np.full(nodes, -1, np.int32)
+        number[inner] = np.arange(self.rows)
+        number[number < 0] = np.arange(self.rows, nodes)
+        self.table = np.full(self.rows * 256, -1, np.int32)
+        self.table[number[edge // 256].astype(np.int64) * 256 + edge % 256] = number[kid]
+        self.token = np.full(nodes, -1, np.int32)
+        ended = np.concatenate(ended)
+        self.token[number[node[ended]]] = ids[ended]
+        self.root = int(number[0])
+        self.space = int(self.table[self.root * 256 + 32])
 
     def propose(self, word: bytes) -> list[int]:
         """The longest matches of one word, in order."""
@@ -179,15 +181,26 @@ class Subwords:
 
 @lru_cache(4)
 def subwords_of(path: str) -> Subwords:
-    return Subwords(path)
+    made = Subwords(path)
+    give_back()
+    return made
 
 
 def gather(flat: np.ndarray, stops: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``which`` of ``flat`` one after another, and their lengths."""
-    lengths = stops[which + 1] - stops[which]
+    begins = stops[which]
+    lengths = stops[which + 1] - begins
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(stops[which] - (ends - lengths), lengths)], lengths
+    begins -= ends - lengths
+    at = np.repeat(begins.astype(small(len(flat) + total)), lengths)
+    at += np.arange(total, dtype=at.dtype)
+    return flat[at], lengths
+
+
+def small(n: int) -> type:
+    """The integers that hold numbers up to ``n`` of either sign."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def inner_line(context: np.ndarray, output: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +221,8 @@ def inner_line(context: np.ndarray, output: np.ndarray, stops: np.ndarray) -> tu
 
 def text_line(runs: list[np.ndarray]) -> np.ndarray:
     """The contexts of texts in one line: before each text padding and a start, after it one place for its end."""
-    head, tail = np.full(WINDOW, PAD, np.int64), np.array([END])
+    kind = runs[0].dtype
+    head, tail = np.full(WINDOW, PAD, kind), np.array([END], kind)
     head[-1] = END
     return np.concatenate([x for r in runs for x in (head, r, tail)])
 
@@ -482,6 +496,20 @@ def one_thread() -> None:
                 break
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, and the C library would keep all it ever had."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 # Training
 
 
@@ -534,49 +562,66 @@ def groups(cells: list[tuple]) -> Iterator[list[tuple]]:
 
 def spans_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``word_spans`` of many texts, some at a time, which takes less memory."""
-    found = [_vec.word_spans(some) for _, some in text_groups(texts)]
-    shift = np.cumsum([0, *(len(f[0]) for f in found)])
-    before = np.cumsum([0, *(len(f[1]) for f in found)])
-    starts, ends = (np.concatenate([f[k] + x for f, x in zip(found, shift[:-1], strict=True)]) for k in (1, 2))
-    at = np.concatenate([[0], *(f[4][1:] + x for f, x in zip(found, before[:-1], strict=True))])
-    return np.frombuffer(b"".join(f[0] for f in found), np.uint8), starts, ends, np.concatenate([f[3] for f in found]), at
+    size = sum(map(len, texts)) + len(texts)
+    raw, parts, shift, before = np.empty(size, np.uint8), [], 0, 0
+    for _, some in text_groups(texts):
+        lower, starts, ends, hashes, at = _vec.word_spans(some)
+        raw[shift : shift + len(lower)] = np.frombuffer(lower, np.uint8)
+        parts.append(((starts + shift).astype(small(size)), (ends + shift).astype(small(size)), hashes, at[1:] + before))
+        shift, before = shift + len(lower), before + len(starts)
+    starts, ends, hashes = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    return raw, starts, ends, hashes, np.concatenate([[0], *(p[3] for p in parts)])
 
 
 def places_of(cells: list[tuple], model: Model, subwords: Subwords, width: int = WINDOW) -> Places:
     """The places of cells ``(skip, begins, ends, text)``, with the ``width`` nearest subwords; inner places once for each distinct word, with how often it is met."""
     raw, starts, ends, hashes, at = spans_of([c[3] for c in cells])
     distinct, where, word = np.unique(hashes, return_index=True, return_inverse=True)
-    flat, stops = subwords.of_words(raw, starts[where], ends[where])
+    del hashes
+    word = word.astype(small(len(distinct)))
+    flat, stops = subwords.of_words(raw, starts[where].astype(np.int64), ends[where].astype(np.int64))
+    del raw, starts, ends
     whole, begins_with = model.whole_words(distinct)
-    begins_with = np.where(whole, begins_with, model.output[flat[stops[:-1]]])
-    ids, lengths = gather(flat, stops, word)
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    context = model.context[ids].astype(np.int16)
+    begins_with = np.where(whole, begins_with, model.output[flat[stops[:-1]]]).astype(np.int16)
+    context, lengths = gather(model.context[flat].astype(np.int16), stops, word)
+    bounds = np.zeros(len(word) + 1, small(len(context) + len(cells) * (WINDOW + 1)))
+    np.cumsum(lengths, out=bounds[1:])
+    del lengths
     begins = np.array([c[1] for c in cells])
     runs = [context[bounds[a] : bounds[b]] for a, b in zip(at[:-1], at[1:], strict=True)]
-    line = text_line(runs).astype(np.int16)
+    line = text_line(runs)
     head = np.cumsum([0, *(len(r) + WINDOW + 1 for r in runs)])  # where each cell's head begins in the line
+    del runs, context
     line[head[:-1][~begins] + WINDOW - 1] = PAD  # no start is seen where the text began earlier
-    of = np.repeat(np.arange(len(cells)), np.diff(at))
-    met = np.arange(len(word)) - at[:-1][of] >= np.array([c[0] for c in cells])[of]
-    first = (bounds[:-1] + (of + 1) * WINDOW + of)[met]
+    of = np.repeat(np.arange(len(cells), dtype=bounds.dtype), np.diff(at))
+    met = np.arange(len(word)) >= (at[:-1] + np.array([c[0] for c in cells]))[of]
+    bounds = bounds[:-1]
+    of *= WINDOW + 1
+    bounds += of
+    bounds += WINDOW
+    del of
     last = head[1:][[c[2] for c in cells]] - 1
-    places = np.concatenate((first, last))
-    target = np.concatenate((begins_with[word[met]], np.full(len(last), END)))
-    times = np.bincount(word[met], minlength=len(where))
+    places = np.concatenate((bounds[met], last.astype(bounds.dtype)))
+    del bounds
+    word = word[met]
+    target = np.concatenate((begins_with[word], np.full(len(last), END, np.int16)))
+    times = np.bincount(word, minlength=len(where))
+    del word
     use = np.flatnonzero((times > 0) & ~whole)
     chosen, n = gather(flat, stops, use)
     words, inside, tails = inner_line(model.context[chosen], model.output[chosen], np.concatenate(([0], np.cumsum(n))))
     words = words.astype(np.int16)
     seen = np.empty((len(places) + len(inside), width), np.int16)
     for w in range(width):
-        seen[: len(places), w] = line.take(places - 1 - w)
+        places -= 1
+        seen[: len(places), w] = line.take(places)
         seen[len(places) :, w] = words.take(inside - 1 - w)
+    del line
     # a cell without any word before it in a text that began earlier sees the start's sign all the same, so that something is seen
     bare = np.flatnonzero(seen[:, 0] == PAD)
     seen[bare[(seen[bare] == PAD).all(axis=1)], 0] = END
     kind = np.repeat(np.array([FIRST, INNER], np.int8), [len(places), len(inside)])
-    return Places(seen, np.concatenate((target, tails)).astype(np.int16), kind, np.concatenate((np.ones(len(places)), np.repeat(times[use], n))).astype(np.float32))
+    return Places(seen, np.concatenate((target, tails.astype(np.int16))), kind, np.concatenate((np.ones(len(places), np.float32), np.repeat(times[use].astype(np.float32), n))))
 
 
 def ranked(counts: np.ndarray, most: int = KNOWN - 2) -> np.ndarray:
@@ -665,10 +710,12 @@ def nats(params: dict[str, np.ndarray], places: Places) -> float:
     """Summed loss of the places, each as often as it is met."""
     total, scorer = 0.0, Scorer(params)
     width = places.context.shape[1]
-    line = places.context[:, ::-1].astype(np.int64).reshape(-1)
     for kind in (FIRST, INNER):
-        at = np.flatnonzero(places.kind == kind)
-        total -= float((scorer(line, (at + 1) * width, places.target[at].astype(np.int64), kind).astype(np.float64) * places.times[at]).sum())
+        mine = np.flatnonzero(places.kind == kind)
+        for lo in range(0, len(mine), 4 * scorer.block):
+            at = mine[lo : lo + 4 * scorer.block]
+            line = places.context[at, ::-1].astype(np.int64).reshape(-1)
+            total -= float((scorer(line, (np.arange(len(at)) + 1) * width, places.target[at].astype(np.int64), kind).astype(np.float64) * places.times[at]).sum())
     return total
 
 
@@ -681,7 +728,8 @@ def train_task(model: Model, mine: list[tuple], judges: list[tuple], spare: Iter
     loss = weight = 0.0
     for some in groups(judges):
         held = places_of(some, model, subwords)
-        loss, weight = loss + nats(model.params, held), weight + float(held.times.sum())
+        loss, weight = loss + nats(model.params, held), weight + float(held.times.sum(dtype=np.float64))
+        del held
     trainer = Trainer(model.params, seed)
     met = 0
     batches = list(groups(mine))
@@ -717,11 +765,15 @@ def _task_cells(batches: Iterator[pa.RecordBatch]) -> Callable[..., list[tuple]]
 
     def of(*wanted: int) -> list[tuple]:
         some = table.filter(pa.array(np.isin(rounds, wanted)))
-        return list(zip(*(some.column(k).to_pylist() for k in range(2, 6)), strict=True))
+        return _rows_of(some)
 
     return of
 
 
+def _rows_of(cells: pa.Table | pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(cells.column(k).to_pylist() for k in range(2, 6)), strict=True))
+
+
 def train_model(texts: DataFrame, blank: Model | None, whole_counts: np.ndarray, ends: int, tokenizer_path: str, least: int = LEAST_STEPS, rounds: int = ROUNDS) -> Model | None:
     """From ``texts(doc_id, text)`` of the training fold and the ids chosen by counts over all of its words (``blank_model``).
 
@@ -742,10 +794,11 @@ def train_model(texts: DataFrame, blank: Model | None, whole_counts: np.ndarray,
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * KNOWN * PROFILE, np.int64)
-        cells_in = _task_cells(batches)
-        for r in range(ROUNDS + 1):
-            for some in groups(cells_in(r)):
-                total += pair_counts(places_of(some, given.value, subwords_of(tokenizer_path), 1))
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                total += pair_counts(places_of(_rows_of(part), given.value, subwords_of(tokenizer_path), 1))
+        give_back()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -772,6 +825,8 @@ def train_model(texts: DataFrame, blank: Model | None, whole_counts: np.ndarray,
             else:
                 mine, spare = cells_in(*wanted), (cells_in((number + k) % ROUNDS) for k in range(1, ROUNDS))
             flat, met, loss, weight = train_task(shared_model.value, mine, judges, spare, 1 if final else least, rate, 1000 * number + task, subwords_of(tokenizer_path))
+            del mine, judges, spare, cells_in
+            give_back()
             pieces = [flat[i : i + chunk] for i in range(0, len(flat), chunk)] if met else []
             rows = [(i, task % side, task, float(met), p.tobytes()) for i, p in enumerate(pieces)]
             rows.append((-1, task % side, task, weight, np.array([loss / max(weight, 1e-9)], np.float32).tobytes()))
@@ -920,6 +975,7 @@ def _ask(tokenizer_path: str):
                 rows = 0
         yield from say()
         total = seen.totals()
+        give_back()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.nulls(len(at), pa.int32()), pa.array(total[at])], names=ASKED.names)
 

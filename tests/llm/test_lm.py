@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -290,3 +291,25 @@ def test_counts_of_ids_are_those_of_all_words():
         if _ == 3:
             counts.totals()
     assert np.array_equal(counts.totals(), want)
+
+
+def most_held(run):
+    """Bytes that a call has at most, its result among them."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_little_for_its_cells():
+    """Two workers share an executor's memory with its JVM."""
+    sw, rng = lm.subwords_of(TOK), np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdeinrst"), rng.integers(2, 9))) for _ in range(3000)]
+    found = [(0, True, True, " ".join(rng.choice(words, 700)).encode()) for _ in range(500)]
+    model = lm.with_classes(lm.blank_model(np.ones(sw.size), sw.first), np.ones(2 * lm.KNOWN * lm.PROFILE), np.zeros(0), sw.first, 500)
+    places = lm.places_of(found, model, sw)
+    assert most_held(lambda: lm.places_of(found, model, sw)) < 15 * sum(len(c[3]) for c in found)
+    assert most_held(lambda: lm.nats(model.params, places)) < 60 * len(places)
+    assert most_held(lambda: lm.Subwords(TOK)) < 95e6
