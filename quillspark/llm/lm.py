@@ -111,18 +111,22 @@ class Subwords:
             nodes += len(edge)
             ended.append(left[lengths[left] == depth + 1])
         edge, kid = np.concatenate(edges, axis=1)
-        inner = np.unique(edge // 256)  # nodes with children come first, so that only they have a row
-        self.rows = len(inner)
-        number = np.full(nodes, -1, np.int32)
-        number[inner] = np.arange(self.rows)
-        number[number < 0] = np.arange(self.rows, nodes)
-        self.table = np.full(self.rows * 256, -1, np.int32)
-        self.table[number[edge // 256].astype(np.int64) * 256 + edge % 256] = number[kid]
+        parent, byte = edge // 256, edge % 256
+        kids = np.bincount(parent, minlength=nodes)
+        number = np.empty(nodes, np.int32)  # only nodes with several children have a row, so they come first
+        number[np.argsort(kids < 2, kind="stable")] = np.arange(nodes)
+        self.rows = int((kids > 1).sum())
+        several = kids[parent] > 1
+        self.table = np.full((self.rows + 1) * 256, -1, np.int32)
+        self.table[number[parent[several]].astype(np.int64) * 256 + byte[several]] = number[kid[several]]
+        self.byte, self.kid = np.full(nodes, -1, np.int16), np.full(nodes, -1, np.int32)  # of nodes with one child
+        self.byte[number[parent[~several]]] = byte[~several]
+        self.kid[number[parent[~several]]] = number[kid[~several]]
         self.token = np.full(nodes, -1, np.int32)
         ended = np.concatenate(ended)
         self.token[number[node[ended]]] = ids[ended]
         self.root = int(number[0])
-        self.space = int(self.table[self.root * 256 + 32])
+        self.space = int(number[kid[(parent == 0) & (byte == 32)][0]])
 
     def propose(self, word: bytes) -> list[int]:
         """The longest matches of one word, in order."""
@@ -156,8 +160,9 @@ class Subwords:
         node = np.full(len(word), self.space, np.int32)
         best, best_at = self.token[node], at.copy()
         while len(word):
-            inside = (at < end) & (node < self.rows)
-            following = np.where(inside, self.table[np.where(inside, node, 0).astype(np.int64) * 256 + raw[np.minimum(at, len(raw) - 1)]], -1)
+            c = raw[np.minimum(at, len(raw) - 1)]
+            following = np.where(self.byte[node] == c, self.kid[node], self.table[np.minimum(node, self.rows) * 256 + c])
+            following[at >= end] = -1
             stuck = following < 0
             node = np.where(stuck, self.root, following)
             at = np.where(stuck, best_at, at + 1)
