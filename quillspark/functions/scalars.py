@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often and in whichever inner function it stands: merged projections can't copy it there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def one_space(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^\s|\s$", "")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import once
+
 
 def cell_text(raw: Column) -> Column:
     return F.coalesce(F.trim(raw), F.lit(""))
@@ -15,12 +17,60 @@ def span(raw: Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.expr("try_cast(1 as int)") * 0 + raw.try_cast("int"), F.lit(1)))
 
 
+def gather(cells: DataFrame) -> DataFrame:
+    """Cells as rows, ``table_id, r, cells``: an array of structs of what a cell has, by column."""
+    own = [c for c in cells.columns if c not in ("table_id", "r", "c", "is_header")]
+    return cells.groupBy("table_id", "r").agg(F.sort_array(F.collect_list(F.struct("c", *own))).alias("cells"))
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """Rows as wide as their table, with null cells where it has none, and ``last`` and ``rmax``, the table's last column and row.
+
+    Rows stay where their table's are: windows by table don't move what comes so, and no table is held in memory.
+    """
+    table, cells, every = Window.partitionBy("table_id"), F.col("cells"), F.sequence(F.lit(0), F.col("last"))
+    sized = rows.filter("table_id is not null").withColumn("last", F.max(F.array_max(cells["c"])).over(table)).withColumn("rmax", F.max("r").over(table))
+    own = lambda c, x, k: F.when(c.isNotNull(), F.lit(None)).otherwise(x[k]).alias(k)  # noqa: E731 - null of that column's type
+    none = F.transform(F.array_except(every, cells["c"]), lambda c: F.struct(c.alias("c"), *[own(c, F.get(cells, F.lit(0)), k) for k in ("text", "rowspan", "colspan")]))
+    plain = F.transform(cells, lambda x: F.struct(x["c"].alias("c"), *[x[k].alias(k) for k in ("text", "rowspan", "colspan")]))
+    return sized.withColumn("cells", F.when(cells["c"] == every, plain).otherwise(F.sort_array(F.concat(plain, none))))
+
+
+def pad_rows(rows: DataFrame) -> DataFrame:
+    """``pad`` of rows."""
+    cell = lambda x: F.struct(x["c"].alias("c"), cell_text(x["text"]).alias("text"), F.coalesce(x["rowspan"], F.lit(1)).alias("rowspan"), F.coalesce(x["colspan"], F.lit(1)).alias("colspan"))
+    return _filled(rows).select("table_id", "r", F.transform("cells", cell).alias("cells"))
+
+
+def normalize_rows(rows: DataFrame) -> DataFrame:
+    """``normalize`` of rows, ``table_id, r, cells``.
+
+    A tall cell sends what it covers to the rows below it in the same partition, so the only shuffle is that by table, and none if rows come so.
+    """
+    cells = F.col("cells")
+    tall, wide = F.coalesce(F.array_max(cells["rowspan"]) > 1, F.lit(False)), F.coalesce(F.array_max(cells["colspan"]) > 1, F.lit(False))
+    high = lambda x: F.least(F.coalesce(x["rowspan"], F.lit(1)), F.col("rmax") - F.col("r") + 1)
+    broad = lambda x: F.least(F.coalesce(x["colspan"], F.lit(1)), F.col("last") - x["c"] + 1)
+    reach = lambda x: F.transform(F.sequence(F.col("r") + 1, F.col("r") + high(x) - 1), lambda r: F.struct(r.alias("r"), x["c"].alias("from"), (x["c"] + broad(x) - 1).alias("to")))
+    below = F.flatten(F.transform(F.filter(cells, lambda x: high(x) > 1), reach))
+    own = F.array(F.struct("r", F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to")))
+    sent = _filled(rows).select("table_id", "cells", "last", "rmax", F.explode(F.when(tall, F.concat(own, below)).otherwise(own)).alias("x"))
+    sent = sent.select("table_id", "x.r", "last", "rmax", F.when(F.col("x.from").isNull(), cells).alias("cells"), F.when(F.col("x.from").isNotNull(), F.struct("x.from", "x.to")).alias("under"))
+    met = sent.withColumn("above", F.collect_list("under").over(Window.partitionBy("table_id", "r"))).filter("cells is not null")
+    right = F.transform(F.filter(cells, lambda x: x["colspan"] > 1), lambda x: F.struct((x["c"] + 1).alias("from"), (x["c"] + broad(x) - 1).alias("to")))
+
+    def cell(x: Column, under: Column) -> Column:
+        one = lambda value, k: F.when(under, "" if k == "text" else 1).otherwise(value).alias(k)
+        return F.struct(x["c"].alias("c"), one(cell_text(x["text"]), "text"), one(high(x), "rowspan"), one(broad(x), "colspan"), under.alias("is_continuation"))
+
+    free = F.transform(cells, lambda x: F.struct(x["c"].alias("c"), cell_text(x["text"]).alias("text"), F.coalesce(x["rowspan"], F.lit(1)).alias("rowspan"), F.coalesce(x["colspan"], F.lit(1)).alias("colspan"), F.lit(False).alias("is_continuation")))
+    covered = lambda spans: F.transform(cells, lambda x: once(F.exists(spans, lambda s: (s["from"] <= x["c"]) & (x["c"] <= s["to"])), lambda under: cell(x, under)))
+    return met.select("table_id", "r", F.when(tall | wide | (F.size("above") > 0), once(F.concat("above", right), covered)).otherwise(free).alias("cells"))
+
+
 def pad(cells: DataFrame) -> DataFrame:
     """Every table a rectangle: ``table_id, r, c, text, rowspan, colspan``; what is missing is an empty cell."""
-    size = cells.groupBy("table_id").agg(F.max("c").alias("last"))
-    rows = cells.select("table_id", "r").distinct().join(size, "table_id")
-    grid = rows.select("table_id", "r", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("c"))
-    return grid.join(cells, ["table_id", "r", "c"], "left").select("table_id", "r", "c", cell_text(F.col("text")).alias("text"), F.coalesce("rowspan", F.lit(1)).alias("rowspan"), F.coalesce("colspan", F.lit(1)).alias("colspan"))
+    return spread(pad_rows(gather(cells)))
 
 
 def normalize(cells: DataFrame) -> DataFrame:
@@ -28,14 +78,12 @@ def normalize(cells: DataFrame) -> DataFrame:
 
     For grids whose spans don't overlap one another, in which any order of claims gives the same result.
     """
-    full = pad(cells)
-    size = full.groupBy("table_id").agg(F.max("r").alias("rmax"), F.max("c").alias("cmax"))
-    full = full.join(size, "table_id").withColumn("rowspan", F.least("rowspan", F.col("rmax") - F.col("r") + 1)).withColumn("colspan", F.least("colspan", F.col("cmax") - F.col("c") + 1)).drop("rmax", "cmax")
-    wide = full.filter("rowspan > 1 or colspan > 1").select("table_id", F.col("r").alias("r0"), F.col("c").alias("c0"), "rowspan", "colspan")
-    covered = wide.select("table_id", "r0", "c0", F.explode(F.sequence("r0", F.col("r0") + F.col("rowspan") - 1)).alias("r"), "c0", "colspan").select("table_id", wide["r0"], wide["c0"], "r", F.explode(F.sequence(wide["c0"], wide["c0"] + F.col("colspan") - 1)).alias("c"))
-    covered = covered.filter((F.col("r") != F.col("r0")) | (F.col("c") != F.col("c0"))).select("table_id", "r", "c", F.lit(True).alias("under")).distinct()
-    out = full.join(covered, ["table_id", "r", "c"], "left").withColumn("is_continuation", F.coalesce("under", F.lit(False))).drop("under")
-    return out.withColumn("text", F.when(F.col("is_continuation"), "").otherwise(F.col("text"))).withColumn("rowspan", F.when(F.col("is_continuation"), 1).otherwise(F.col("rowspan"))).withColumn("colspan", F.when(F.col("is_continuation"), 1).otherwise(F.col("colspan"))).withColumn("is_header", F.col("r") == 0)
+    return spread(normalize_rows(gather(cells))).withColumn("is_header", F.col("r") == 0)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The cells of rows, one a row."""
+    return rows.select("table_id", "r", F.inline("cells"))
 
 
 def empty_runs(cells: DataFrame) -> DataFrame:
@@ -62,42 +110,62 @@ def pipe_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\n"), F.lit("<br>")), F.lit("|"), F.lit("\\|"))
 
 
-def _ordered(value: Column, *by: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(*by, value.alias("v")))), lambda x: x["v"])
+def _lines(line: Column) -> Column:
+    """A table's lines in order as one text."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("v")))), lambda x: x["v"]), "\n")
 
 
 def to_pipe_table(cells: DataFrame) -> DataFrame:
     """``table_id, markdown``: a pipe table, its header first."""
-    rows = cells.groupBy("table_id", "r").agg(_ordered(pipe_cell(F.col("text")), "c").alias("cells"))
-    line = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
+    return pipe_table(gather(cells))
+
+
+def pipe_table(rows: DataFrame) -> DataFrame:
+    """``to_pipe_table`` of rows."""
+    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda x: pipe_cell(x["text"])), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda _: F.lit("---")), " | "), F.lit(" |"))
-    rows = rows.select("table_id", "r", F.when(F.col("r") == 0, F.concat(line, F.lit("\n"), rule)).otherwise(line).alias("line"))
-    return rows.groupBy("table_id").agg(F.concat(F.array_join(_ordered(F.col("line"), "r"), "\n"), F.lit("\n")).alias("markdown"))
+    lines = rows.select("table_id", "r", F.concat(line, F.when(F.col("r") == 0, F.concat(F.lit("\n"), rule)).otherwise("")).alias("line"))
+    return lines.groupBy("table_id").agg(F.concat(_lines(F.col("line")), F.lit("\n")).alias("markdown"))
 
 
 def to_html_table(cells: DataFrame, styled: bool = False) -> DataFrame:
     """``table_id, html``: cells under a span are left out; spans above 1 are attributes; the first row is a header."""
+    return html_table(gather(cells), styled)
+
+
+def html_table(rows: DataFrame, styled: bool = False) -> DataFrame:
+    """``to_html_table`` of rows."""
     css = F.lit(' style="border: 1px solid #999; padding: 4px;"' if styled else "")
     tag = F.when(F.col("r") == 0, "th").otherwise("td")
-    attrs = F.concat(F.when(F.col("rowspan") > 1, F.concat(F.lit(' rowspan="'), F.col("rowspan"), F.lit('"'))).otherwise(""), F.when(F.col("colspan") > 1, F.concat(F.lit(' colspan="'), F.col("colspan"), F.lit('"'))).otherwise(""))
-    cell = F.concat(F.lit("<"), tag, attrs, css, F.lit(">"), escape(F.col("text"), styled), F.lit("</"), tag, F.lit(">"))
-    shown = F.filter(F.array_sort(F.collect_list(F.struct("c", F.when(~F.col("is_continuation"), cell).alias("v")))), lambda x: x["v"].isNotNull())
-    rows = cells.groupBy("table_id", "r").agg(F.concat(F.lit("  <tr>"), F.array_join(F.transform(shown, lambda x: x["v"]), ""), F.lit("</tr>")).alias("line"))
+    attr = lambda x, k: F.when(x[k] > 1, F.concat(F.lit(f' {k}="'), x[k], F.lit('"'))).otherwise("")
+    cell = lambda x: F.concat(F.lit("<"), tag, attr(x, "rowspan"), attr(x, "colspan"), css, F.lit(">"), escape(x["text"], styled), F.lit("</"), tag, F.lit(">"))
+    shown = F.transform(F.filter("cells", lambda x: ~x["is_continuation"]), cell)
+    lines = rows.select("table_id", "r", F.concat(F.lit("  <tr>"), F.array_join(shown, ""), F.lit("</tr>")).alias("line"))
     top = '<table style="border-collapse: collapse;">' if styled else "<table>"
-    return rows.groupBy("table_id").agg(F.concat(F.lit(top + "\n"), F.array_join(_ordered(F.col("line"), "r"), "\n"), F.lit("\n</table>")).alias("html"))
+    return lines.groupBy("table_id").agg(F.concat(F.lit(top + "\n"), _lines(F.col("line")), F.lit("\n</table>")).alias("html"))
 
 
 def to_grid(cells: DataFrame) -> DataFrame:
     """``table_id, grid``: padded columns; ⊕ marks a merged cell, → and ↓ what it covers to the right and below."""
-    above = Window.partitionBy("table_id", "c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    from_above = F.coalesce(F.max(F.when((F.col("rowspan") > 1) & ~F.col("is_continuation"), F.col("r") + F.col("rowspan") - 1)).over(above), F.lit(-1)) >= F.col("r")
-    mark = F.when(F.col("is_continuation") & from_above, "↓").when(F.col("is_continuation"), "→").when((F.col("rowspan") > 1) | (F.col("colspan") > 1), F.concat(F.col("text"), F.lit(" ⊕"))).otherwise(F.col("text"))
-    marked = cells.withColumn("shown", mark)
-    width = marked.groupBy("table_id", "c").agg(F.max(F.length("shown")).alias("width"))
-    marked = marked.join(width, ["table_id", "c"])
-    padded = F.concat(F.col("shown"), F.repeat(F.lit(" "), F.col("width") - F.length("shown")))
-    rows = marked.groupBy("table_id", "r").agg(F.array_join(_ordered(padded, "c"), " | ").alias("line"))
-    return rows.groupBy("table_id").agg(F.array_join(_ordered(F.concat(F.lit("| "), F.col("line"), F.lit(" |")), "r"), "\n").alias("grid"))
+    return grid(gather(cells))
+
+
+def grid(rows: DataFrame) -> DataFrame:
+    """``to_grid`` of rows. Widths and what covers a cell are found in the array of a table's rows, without a join."""
+    tall = lambda row: F.transform(F.filter(row["cells"], lambda x: (x["rowspan"] > 1) & ~x["is_continuation"]), lambda x: F.struct(x["c"].alias("c"), row["r"].alias("r"), (row["r"] + x["rowspan"] - 1).alias("end")))
+
+    def mark(x: Column, row: Column, talls: Column) -> Column:
+        from_above = F.exists(talls, lambda t: (t["c"] == x["c"]) & (t["r"] < row["r"]) & (t["end"] >= row["r"]))
+        return F.when(x["is_continuation"], F.when(from_above, "↓").otherwise("→")).when((x["rowspan"] > 1) | (x["colspan"] > 1), F.concat(x["text"], F.lit(" ⊕"))).otherwise(x["text"])
+
+    def drawn(shown: Column) -> Column:
+        widths = F.aggregate(shown, F.array().cast("array<int>"), lambda most, row: F.zip_with(most, row, lambda n, x: F.greatest(n, F.length(x))))
+        padded = lambda x, n: F.concat(x, F.repeat(F.lit(" "), n - F.length(x)))
+        return once(widths, lambda w: F.array_join(F.transform(shown, lambda row: F.concat(F.lit("| "), F.array_join(F.zip_with(row, w, padded), " | "), F.lit(" |"))), "\n"))
+
+    tables = rows.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("r", "cells"))).alias("rows"))
+    shown = once(F.flatten(F.transform("rows", tall)), lambda talls: F.transform("rows", lambda row: F.transform(row["cells"], lambda x: mark(x, row, talls))))
+    return tables.select("table_id", once(shown, drawn).alias("grid"))
 
 
 def render(cells: DataFrame) -> DataFrame:

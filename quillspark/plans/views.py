@@ -47,16 +47,21 @@ V_CONV = """v_conv AS (
 )"""
 
 
-def v_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as tables of four text columns, one a line, empty where returnflag is N; some cells are merged."""
+def v_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as rows of four texts, ``table_id, r, texts``: one shuffle, by table."""
     from pyspark.sql import Window
 
     li = read(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     n = li.withColumn("r", (F.row_number().over(w) - 1).cast("int"))
     flag = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
-    cells = F.array(F.col("l_partkey").cast("string"), flag, F.col("l_linestatus"), F.concat(F.lit("a|b<"), F.col("l_linenumber").cast("string")))
-    return n.select(F.col("l_orderkey").alias("table_id"), "r", F.posexplode(cells).alias("c", "text"))
+    texts = F.array(F.col("l_partkey").cast("string"), flag, F.col("l_linestatus"), F.concat(F.lit("a|b<"), F.col("l_linenumber").cast("string")))
+    return n.select(F.col("l_orderkey").alias("table_id"), "r", texts.alias("texts"))
+
+
+def v_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as tables of four text columns, one a line, empty where returnflag is N; some cells are merged."""
+    return v_rows(spark, sf_dir).select("table_id", "r", F.posexplode("texts").alias("c", "text"))
 
 
 V_GRID = """v_grid AS (

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quillspark.operators import tables
 from quillspark.plans import catalogue
 from test_catalogue import plain
 
@@ -31,3 +32,21 @@ def test_router_invariants_of_odd_texts(spark, tmp_path):
     """Blank texts, texts that begin with a label of the query's own, and those with its string that is nowhere."""
     texts = ["", " ", None, "\t", "\n \n", "\u00a0", "\u2003\u3000", "other text", "x \u0001nowhere y", "\u0001nowhere", "box word", "plain text"]
     agrees(spark, documents(tmp_path, texts, 200), "router_invariants", "documents")
+
+
+@pytest.mark.parametrize("name", ["table_grid"])
+def test_tables_are_shuffled_once(spark, name):
+    """Rows move once, to their table; cells never do."""
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_odd_tables(spark):
+    """Short rows, gaps between rows, null spans and ids, a cell both tall and wide."""
+    rows = [(1, 0, 0, " a ", 2, 2), (1, 0, 2, "b", 1, 1), (1, 1, 2, "c", None, None), (1, 3, 1, "d", 9, 9), (2, 0, 2, None, 1, 1), (None, 0, 0, "x", 1, 1)]
+    n = tables.normalize(spark.createDataFrame(rows, "table_id long, r int, c int, text string, rowspan int, colspan int"))
+    got = {(r.table_id, r.r, r.c): (r.text, r.rowspan, r.colspan, r.is_continuation) for r in n.collect()}
+    assert len(got) == 12 and got[1, 0, 0] == ("a", 2, 2, False) and got[1, 1, 2] == ("c", 1, 1, False) and got[1, 3, 1] == ("d", 1, 2, False) and got[2, 0, 0] == ("", 1, 1, False)
+    assert {k for k, v in got.items() if v == ("", 1, 1, True)} == {(1, 0, 1), (1, 1, 0), (1, 1, 1), (1, 3, 2)}
+    grid = {r.table_id: r.grid for r in tables.to_grid(n).collect()}
+    assert grid[1].split("\n") == ["| a ⊕ | →   | b |", "| ↓   | →   | c |", "|     | d ⊕ | → |"] and grid[2] == "|  |  |  |"
