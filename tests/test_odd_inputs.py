@@ -34,7 +34,7 @@ def test_router_invariants_of_odd_texts(spark, tmp_path):
     agrees(spark, documents(tmp_path, texts, 200), "router_invariants", "documents")
 
 
-@pytest.mark.parametrize("name", ["table_grid", "table_html", "table_styled", "table_markdown"])
+@pytest.mark.parametrize("name", ["table_normalize", "table_pad", "table_markdown", "table_html", "table_styled", "table_grid"])
 def test_tables_are_shuffled_once(spark, name):
     """Rows move once, to their table; cells never do."""
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
