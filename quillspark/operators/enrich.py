@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import one_space
+from ..functions.scalars import once, one_space
 
 MISSING = "[image: OCR unavailable]"
 
@@ -50,20 +50,28 @@ def newest(entries: DataFrame, keep: int, by: str, tie: str) -> DataFrame:
 PAGE_TOKEN = r"[0-9A-Za-z][-0-9A-Za-z.,%$/+]*|[\u3040-\u30ff\u4e00-\u9fff]{2,}"
 
 
+#: Runs of what tokens are made of: a token stands in a text if it stands in one of the text's runs.
+TOKEN_RUN = r"[-0-9A-Za-z.,%$/+]+|[\u3040-\u30ff\u4e00-\u9fff]+"
+
+
 def coverage(source: Column, shown: Column) -> Column:
     """``share, missing``: how many of the source's tokens (repeats counted) what is shown has, 1 without any; and those it lacks, in order.
 
-    White space in what is shown is made single once, and each distinct token is looked for once.
+    Tokens that are runs of what is shown are found by hash; only the others are looked for, each once, in the distinct runs.
     """
     tokens = F.filter(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(f"({PAGE_TOKEN})"), 1), lambda t: F.length(t) > 1)
-    flat = one_space(F.coalesce(shown, F.lit("")))
+    runs = F.array_distinct(F.regexp_extract_all(F.coalesce(shown, F.lit("")), F.lit(f"({TOKEN_RUN})"), 1))
 
     def judged(both: Column) -> Column:
-        lost = F.array_sort(F.filter(F.array_distinct(both["tokens"]), lambda t: ~F.contains(both["flat"], t)))
-        gone = F.when(F.size(lost) == 0, 0).otherwise(F.size(F.filter(both["tokens"], lambda t: F.array_contains(lost, t))))
-        return F.struct(F.when(F.size(both["tokens"]) == 0, 1.0).otherwise(1 - gone / F.size(both["tokens"])).alias("share"), lost.alias("missing"))
+        sought = F.struct(F.array_except(both["tokens"], both["runs"]).alias("tokens"), F.array_join(both["runs"], " ").alias("text"))
+        lost = once(sought, lambda s: F.array_sort(F.filter(s["tokens"], lambda t: ~F.contains(s["text"], t))))
+        return once(lost, lambda l: scored(both["tokens"], l))
+
+    def scored(all_of: Column, lost: Column) -> Column:
+        gone = F.when(F.size(lost) == 0, 0).otherwise(F.size(F.filter(all_of, lambda t: F.array_contains(lost, t))))
+        return F.struct(F.when(F.size(all_of) == 0, 1.0).otherwise(1 - gone / F.size(all_of)).alias("share"), lost.alias("missing"))
 
-    return F.transform(F.array(F.struct(tokens.alias("tokens"), flat.alias("flat"))), judged)[0]  # each side is evaluated once
+    return once(F.struct(tokens.alias("tokens"), runs.alias("runs")), judged)
 
 
 def empty_structured(page: str = "page") -> Column:

@@ -1,9 +1,13 @@
 """Queries against their SQL on inputs that the driver's tables don't have."""
 
+import re
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.operators import tables
+from quillspark.operators import enrich, tables
 from quillspark.plans import catalogue
 from test_catalogue import plain
 
@@ -50,3 +54,17 @@ def test_odd_tables(spark):
     assert {k for k, v in got.items() if v == ("", 1, 1, True)} == {(1, 0, 1), (1, 1, 0), (1, 1, 1), (1, 3, 2)}
     grid = {r.table_id: r.grid for r in tables.to_grid(n).collect()}
     assert grid[1].split("\n") == ["| a ⊕ | →   | b |", "| ↓   | →   | c |", "|     | d ⊕ | → |"] and grid[2] == "|  |  |  |"
+
+
+def test_coverage_of_long_texts(spark):
+    """Thousands of distinct tokens, many of them lost: each is judged once, in a time that grows with the text."""
+    text = " ".join(f"word{i} [a{i}](b{i}) 漢字{i}" for i in range(4000))
+    shown = " ".join(f"xword{i}, a{i} 大漢字{i}" for i in range(4000))
+    df = spark.createDataFrame([(text, shown), (text, None), ("a b", ""), (None, "x"), ("ab-c -de cd", "xab-c/ de")], "t string, s string")
+    began = time.monotonic()
+    got = [r.c for r in df.select(enrich.coverage(F.col("t"), F.col("s")).alias("c")).collect()]
+    assert time.monotonic() - began < 30
+    for (source, seen), c in zip(df.collect(), got, strict=True):
+        tokens = [t for t in re.findall(enrich.PAGE_TOKEN, source or "") if len(t) > 1]
+        lost = {t for t in tokens if t not in (seen or "")}
+        assert c.missing == sorted(lost) and c.share == pytest.approx(1 - sum(t in lost for t in tokens) / len(tokens) if tokens else 1)
