@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import once
 from .enrich import coverage
 
 TABLE_TAGS = frozenset("table caption colgroup col thead tbody tfoot tr td th".split())
@@ -252,9 +253,10 @@ def page_markdown(page: str = "page") -> Column:
     own, text, title = _bare(p["page_markdown"]), F.coalesce(p["text"], F.lit("")), _bare(p["page_title"])
     tables = F.array_compact(F.transform(_some(p["tables"]), render_table))
     written = F.array_join(F.transform(_some(p["tables"]), lambda t: F.when(F.coalesce(t["html"], F.lit("")) != "", t["html"]).otherwise(F.coalesce(t["markdown"], F.lit("")))), " ")
-    covered = coverage(text, F.concat(own, F.lit("\n"), written))
-    tail = F.when(F.size(covered["missing"]) > 0, F.concat(F.lit("<!-- raw-verbatim-tail\n"), F.array_join(covered["missing"], "\n"), F.lit("\n-->")))
+    tail = lambda missing: F.when(F.size(missing) > 0, F.concat(F.lit("<!-- raw-verbatim-tail\n"), F.array_join(missing, "\n"), F.lit("\n-->")))
+    kept = lambda c: F.when(c["share"] >= SURE, _lines(own, F.filter(tables, lambda t: t != ""), tail(c["missing"]), sep="\n\n"))
+    sure = once(F.when(own != "", coverage(text, F.concat(own, F.lit("\n"), written))), kept)
     head = F.when((title != "") & ~F.startswith(F.ltrim(text), title), F.concat(F.lit("# "), title))
     figures = F.array_compact(F.transform(_some(p["figures"]), render_figure))
     full = _lines(head, _full(F.trim(text)), F.filter(tables, lambda t: t != ""), render_metrics(p["metrics"]), figures, render_sections(p["sections"]), sep="\n\n")
-    return F.when((own != "") & (covered["share"] >= SURE), _lines(own, F.filter(tables, lambda t: t != ""), tail, sep="\n\n")).otherwise(full)
+    return F.coalesce(sure, full)
