@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import once
 from .items import lines
 
 
@@ -29,10 +30,18 @@ def dup_line_ratio(all_lines: DataFrame) -> DataFrame:
 
 
 def text_preservation(pairs: DataFrame) -> DataFrame:
-    """From ``doc_id, text, output``: the share of the text's non-blank lines found in the output. Narrow."""
-    shown = F.filter(F.transform(F.split(F.col("text"), "\n", -1), lambda l: F.trim(l)), lambda l: l != "")
-    hit = F.size(F.filter(shown, lambda l: F.contains(F.col("output"), l)))
-    return pairs.filter(F.size(shown) > 0).select("doc_id", (hit / F.size(shown)).alias("preserved"))
+    """From ``doc_id, text, output``: the share of the text's non-blank lines found in the output. Narrow.
+
+    Lines that are lines of the output are found by hash; only the others are looked for, each distinct one once. The output is made once a text.
+    """
+    trimmed = lambda text: F.filter(F.transform(F.split(text, "\n", -1), lambda l: F.trim(l)), lambda l: l != "")
+
+    def kept(both: Column) -> Column:
+        lost = F.filter(F.array_except(both["lines"], trimmed(both["output"])), lambda l: ~F.contains(both["output"], l))
+        return once(lost, lambda l: (F.size(both["lines"]) - F.when(F.size(l) == 0, 0).otherwise(F.size(F.filter(both["lines"], lambda x: F.array_contains(l, x))))) / F.size(both["lines"]))
+
+    both = F.struct(trimmed(F.col("text")).alias("lines"), F.coalesce(F.col("output"), F.lit("")).alias("output"))
+    return pairs.filter(F.col("text").rlike(r"[^ \n]")).select("doc_id", once(both, kept).alias("preserved"))
 
 
 def cell_accuracy(truth: DataFrame, got: DataFrame) -> DataFrame:

@@ -68,3 +68,11 @@ def test_coverage_of_long_texts(spark):
         tokens = [t for t in re.findall(enrich.PAGE_TOKEN, source or "") if len(t) > 1]
         lost = {t for t in tokens if t not in (seen or "")}
         assert c.missing == sorted(lost) and c.share == pytest.approx(1 - sum(t in lost for t in tokens) / len(tokens) if tokens else 1)
+
+
+def test_preservation_of_long_texts(spark, tmp_path):
+    """The plain rendering is made once a text, not once a line."""
+    texts = ["\n".join(f"line {i} of **many** and *few* [a](b) " + "x" * 40 for i in range(6000)), "# a\n b \nb\n\n*c", " \n ", "", None, "\t\n**a**\n a"]
+    began = time.monotonic()
+    agrees(spark, documents(tmp_path, texts, 1), "text_preservation", "documents")
+    assert time.monotonic() - began < 40
