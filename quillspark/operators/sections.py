@@ -168,21 +168,48 @@ def chunk_items(items: list[dict], config: ChunkConfig) -> list[dict]:
     return [c | {"chunk_index": k, "content": text} for k, (c, text) in enumerate(zip(chunks, contents, strict=True))]
 
 
+#: Bytes of text, about, in a batch of chunks.
+OUT_BYTES = 1 << 20
+
+
 def chunk_documents(items: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunks of all documents of ``items(doc_id, seq, type, content, page)``.
 
-    Items are gathered into one ordered array a document (one shuffle; none if they come so), then folded
-    batch by batch in Python: packing, overlap and footnotes each depend on what went before.
+    Items come sorted by document (one shuffle) and are folded one document after
+    another in Python: packing, overlap and footnotes each depend on what went before. A batch has items, not documents, so
+    a worker holds one document and a batch of lines, however long the texts and however many they are.
     """
     md = render_item(F.col("type"), F.col("content"))
-    arrays = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "content", F.col("page").cast("int").alias("page"), md.alias("markdown")))).alias("items"))
+    rows = items.select("doc_id", "seq", "type", "content", F.col("page").cast("int").alias("page"), md.alias("markdown"))
+    ordered = rows.repartition("doc_id").sortWithinPartitions(*rows.columns).drop("seq")
+    names = ordered.columns[1:]
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[dict]]]:
+        now, held = None, []
         for b in batches:
-            rows = [c | {"doc_id": d} for d, its in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in chunk_items(its, config)]
-            yield pa.RecordBatch.from_pylist([{n: r[n] for n in CHUNKS.names} for r in rows], schema=SCHEMA)
+            columns = [c.to_pylist() for c in b.columns]
+            for d, *item in zip(*columns, strict=True):
+                if held and d != now:
+                    yield now, held
+                    held = []
+                now = d
+                held.append(dict(zip(names, item, strict=True)))
+        if held:
+            yield now, held
 
-    return arrays.mapInArrow(fold, CHUNKS)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, load = [], 0
+        for d, its in documents(batches):
+            for c in chunk_items(its, config):
+                out.append(c | {"doc_id": d})
+                load += len(c["content"])
+                if load > OUT_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+                    out, load = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+
+    return ordered.mapInArrow(fold, CHUNKS)
 
 
 SCHEMA = pa.schema(

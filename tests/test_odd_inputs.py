@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import enrich, tables
+from quillspark.operators import enrich, sections, tables
 from quillspark.plans import catalogue
 from test_catalogue import plain
 
@@ -76,3 +76,23 @@ def test_preservation_of_long_texts(spark, tmp_path):
     began = time.monotonic()
     agrees(spark, documents(tmp_path, texts, 1), "text_preservation", "documents")
     assert time.monotonic() - began < 40
+
+
+@pytest.mark.parametrize("name", ["chunk_documents", "chunk_pack"])
+def test_documents_reach_python_line_by_line(spark, name):
+    """A batch has lines, not arrays of whole documents, so a worker's memory doesn't grow with the texts of a batch."""
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_chunks_of_documents_over_several_batches(spark):
+    """A document of more lines than a batch, its neighbours, and one without an id are each folded whole."""
+    rows = [(d, i, "text:title" if i == 0 else "text:normal", f"{d} line {i}", 1) for d, n in ((1, 3), (2, 25000), (3, 2), (None, 2)) for i in range(n)]
+    items = spark.createDataFrame(rows[::-1], "doc_id long, seq int, type string, content string, page int").coalesce(1)
+    config = sections.ChunkConfig(overlap=0)
+    got = {}
+    for c in sections.chunk_documents(items, config).collect():
+        got.setdefault(c.doc_id, {})[c.chunk_index] = c.content
+    assert set(got) == {1, 2, 3, None} and got[1] == {0: "# 1 line 0\n\n1 line 1\n\n1 line 2"} and got[None] == {0: "# None line 0\n\nNone line 1"}
+    whole = "\n\n".join(got[2][k] for k in range(len(got[2])))
+    assert whole == "\n\n".join(["# 2 line 0", *[f"2 line {i}" for i in range(1, 25000)]])
