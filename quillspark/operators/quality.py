@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import once
 from .items import lines
+from .tables import gather
 
 
 def pipe_table(df: DataFrame, name: str, columns: list[str], order: str) -> DataFrame:
@@ -46,8 +47,37 @@ def text_preservation(pairs: DataFrame) -> DataFrame:
 
 def cell_accuracy(truth: DataFrame, got: DataFrame) -> DataFrame:
     """``table_id, accuracy``: the share of the true cells that came out the same."""
-    g = got.select("table_id", "r", "c", F.col("text").alias("got"))
-    return truth.join(g, ["table_id", "r", "c"], "left").groupBy("table_id").agg(F.avg((F.coalesce(F.col("text") == F.col("got"), F.lit(False))).cast("double")).alias("accuracy"))
+    cells = lambda df: gather(df.select("table_id", "r", "c", "text"))
+    return row_accuracy(cells(truth), cells(got))
+
+
+def row_accuracy(truth: DataFrame, got: DataFrame) -> DataFrame:
+    """``cell_accuracy`` of rows, ``table_id, r, cells``: whole tables meet, not cells, so rows that come by table don't move.
+
+    Where both sides have the same places, texts are compared in order; else places are met in one pass over both sides' sorted cells.
+    """
+
+    def whole(rows: DataFrame, name: str) -> DataFrame:
+        cells = F.transform("cells", lambda x: F.struct(F.col("r").alias("r"), x["c"].alias("c"), x["text"].alias("text")))
+        twice = F.size(F.array_distinct(F.col("cells")["c"])) < F.size("cells")
+        return rows.select("table_id", cells.alias("cells"), twice.alias("twice")).groupBy("table_id").agg(F.sort_array(F.flatten(F.collect_list("cells"))).alias(name), F.max("twice").alias(f"{name}_twice"))
+
+    t, g = F.col("t"), F.coalesce(F.col("g"), F.filter("t", lambda x: F.lit(False)))
+    tagged = lambda xs, side: F.transform(xs, lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"), F.lit(side).alias("side"), x["text"].alias("text")))
+    state = lambda r, c, texts, seen, hits, pairs: F.struct(r.alias("r"), c.alias("c"), texts.alias("texts"), seen.cast("long").alias("seen"), hits.cast("long").alias("hits"), pairs.cast("long").alias("pairs"))
+    pairs = lambda s: s["pairs"] + F.size(s["texts"]) * F.greatest(s["seen"], F.lit(1))
+
+    def met(s: Column, x: Column) -> Column:
+        true, none = x["side"] == 0, F.array().cast("array<string>")
+        fresh = state(x["r"], x["c"], F.when(true, F.array(x["text"])).otherwise(none), F.lit(0), s["hits"], pairs(s))
+        more = state(s["r"], s["c"], F.when(true, F.concat(s["texts"], F.array(x["text"]))).otherwise(s["texts"]), s["seen"] + x["side"], s["hits"] + F.when(true, 0).otherwise(F.size(F.filter(s["texts"], lambda y: F.coalesce(y == x["text"], F.lit(False))))), s["pairs"])
+        return F.when((s["r"] == x["r"]) & (s["c"] == x["c"]), more).otherwise(fresh)
+
+    null = F.lit(None).cast("int")
+    folded = F.aggregate(F.sort_array(F.concat(tagged(t, 0), tagged(g, 1))), state(null, null, F.array().cast("array<string>"), F.lit(0), F.lit(0), F.lit(0)), met, lambda s: s["hits"] / pairs(s))
+    same = F.size(F.filter(F.zip_with(t["text"], F.col("g")["text"], lambda a, b: a == b), lambda x: x)) / F.size(t)
+    aligned = (t["r"] == F.col("g")["r"]) & (t["c"] == F.col("g")["c"]) & ~F.col("t_twice")
+    return whole(truth, "t").join(whole(got, "g"), "table_id", "left").select("table_id", F.when(aligned, same).otherwise(folded).alias("accuracy"))
 
 
 def scorecard(preserved: DataFrame, fidelity: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -56,4 +86,4 @@ def scorecard(preserved: DataFrame, fidelity: DataFrame, repeated: DataFrame) ->
     return means.withColumn("passes", (F.col("text_preservation") >= 0.95) & (F.col("table_fidelity") >= 0.90))
 
 
-__all__ = ["cell_accuracy", "dup_line_ratio", "lines", "pipe_table", "scorecard", "text_preservation"]
+__all__ = ["cell_accuracy", "dup_line_ratio", "lines", "pipe_table", "row_accuracy", "scorecard", "text_preservation"]

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import enrich, sections, tables
+from quillspark.operators import enrich, quality, sections, tables
 from quillspark.plans import catalogue
 from test_catalogue import plain
 
@@ -96,3 +96,18 @@ def test_chunks_of_documents_over_several_batches(spark):
     assert set(got) == {1, 2, 3, None} and got[1] == {0: "# 1 line 0\n\n1 line 1\n\n1 line 2"} and got[None] == {0: "# None line 0\n\nNone line 1"}
     whole = "\n\n".join(got[2][k] for k in range(len(got[2])))
     assert whole == "\n\n".join(["# 2 line 0", *[f"2 line {i}" for i in range(1, 25000)]])
+
+
+def test_tables_are_compared_where_they_are(spark):
+    plan = catalogue.queries()["table_fidelity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#\d+L, \d+\)", plan)) == {"l_orderkey"} and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_accuracy_of_odd_tables(spark):
+    """Places that only one side has, repeated places, null texts and ids: as a left join has them."""
+    shape = "table_id long, r int, c int, text string"
+    truth = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, None), (2, 0, 0, "a"), (2, 0, 0, "b"), (3, 0, 0, "a"), (None, 0, 0, "a"), (4, 0, 0, "a"), (4, 0, 1, None), (5, 0, 1, "a")], shape)
+    got = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 2, "b"), (1, 1, 0, None), (2, 0, 0, "b"), (2, 0, 0, "b"), (2, 0, 0, "c"), (None, 0, 0, "a"), (4, 0, 0, "a"), (4, 0, 1, None), (5, 0, 0, "a"), (6, 0, 0, "a")], shape)
+    want = truth.join(got.withColumnRenamed("text", "got"), ["table_id", "r", "c"], "left").groupBy("table_id").agg(F.avg(F.coalesce(F.col("text") == F.col("got"), F.lit(False)).cast("double")).alias("accuracy"))
+    key = lambda df: sorted((str(r.table_id), r.accuracy) for r in df.collect())
+    assert key(quality.cell_accuracy(truth, got)) == key(want)
